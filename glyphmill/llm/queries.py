@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontamination, mixing
 
 QUERIES = {
     "op5_mix": mixing.op5_mix,
+    "op6_decontaminate": decontamination.op6_decontaminate,
 }
 
 SQL = {
     "op5_mix": mixing.OP5_SQL,
+    "op6_decontaminate": decontamination.OP6_SQL,
 }
