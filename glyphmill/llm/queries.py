@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing
+from . import decontamination, mixing, pii
 
 QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_decontaminate": decontamination.op6_decontaminate,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL = {
