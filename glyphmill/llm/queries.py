@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, pii
+from . import decontamination, mixing, near_dedup, pii
 
 QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_decontaminate": decontamination.op6_decontaminate,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op10_pii": pii.op10_pii,
 }
 
