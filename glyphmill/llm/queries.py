@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, near_dedup, pii, toxicity
+from . import decontamination, language_id, mixing, near_dedup, pii, spotsigs, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix": mixing.op5_mix,
     "op6_decontaminate": decontamination.op6_decontaminate,
+    "op7_fingerprints": spotsigs.op7_fingerprints,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op10_pii": pii.op10_pii,
 }

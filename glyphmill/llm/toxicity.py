@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .support import fresh, held_out, materialise
 from .weak_labels import fit_label_model, fit_linear, labelled_beliefs
-from .wordcols import Words, mix, slices, text_buffer
+from .wordcols import LETTER, Words, letters_only, mix, slices, text_buffer
 
 THRESHOLD = 0.3
 SAMPLE = 20_000
@@ -42,24 +42,9 @@ FEATURES, VOTERS = 3000, 200
 PRECISION = 0.75
 PREFIXES = (3, 4, 5, 6, 7)
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_LETTER[128:] = True
-
-
-def _letters_only(data: np.ndarray) -> np.ndarray:
-    """Lower case (A-Z and the capitals of Latin-1 in UTF-8), everything but letters as spaces."""
-    out = np.where(_LETTER[data], data, np.uint8(32))
-    out[(out >= 65) & (out <= 90)] += 32
-    if len(out) > 1:
-        tail = out[1:]
-        tail[(out[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 0x20
-    return out
-
-
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text index and hash of each letter run and of its prefixes, repeats included."""
-    words = Words(_letters_only(data), offsets)
+    words = Words(letters_only(data), offsets)
     if not len(words.start):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     char_starts = np.flatnonzero((words.data & 0xC0) != 0x80)
@@ -81,7 +66,7 @@ def pattern_votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     size = np.maximum(1, np.diff(offsets))
     total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
     upper = total((data >= 65) & (data <= 90))
-    letters = np.maximum(1, total(_LETTER[data]))
+    letters = np.maximum(1, total(LETTER[data]))
     shout = np.where(upper / letters > 0.5, 1, np.where(upper / letters < 0.1, 0, -1))
     exclaim = np.where(total(data == 33) / size > 0.02, 1, -1)
     noise = np.where(total((data == 36) | (data == 38) | (data == 35) | (data == 37) | (data == 42)) / size > 0.05, 1, -1)

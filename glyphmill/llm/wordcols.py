@@ -23,8 +23,8 @@ SHINGLE_WORDS = 5
 #: Bytes of text handled at once; a single longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
 
-_SEP = np.zeros(256, dtype=bool)
-_SEP[[0x20, *range(0x09, 0x0E)]] = True
+SEPARATOR = np.zeros(256, dtype=bool)
+SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -61,6 +61,22 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes of letters: ASCII ones and all of other scripts.
+LETTER = np.zeros(256, dtype=bool)
+LETTER[65:91] = LETTER[97:123] = True
+LETTER[128:] = True
+
+
+def letters_only(data: np.ndarray) -> np.ndarray:
+    """Lower case (A-Z and the capitals of Latin-1 in UTF-8), everything but letters as spaces."""
+    out = np.where(LETTER[data], data, np.uint8(32))
+    out[(out >= 65) & (out <= 90)] += 32
+    if len(out) > 1:
+        tail = out[1:]
+        tail[(out[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 0x20
+    return out
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold at most ``limit`` bytes together."""
     if not batch.num_rows:
@@ -85,7 +101,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
         n = len(data)
-        inside = ~_SEP[data]
+        inside = ~SEPARATOR[data]
         begins, ends = inside.copy(), inside.copy()
         if n:
             begins[1:] &= ~inside[:-1]
