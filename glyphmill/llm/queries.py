@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, near_dedup, pii, spotsigs, toxicity
+from . import decontamination, language_id, lm_scoring, mixing, near_dedup, pii, spotsigs, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontaminate": decontamination.op6_decontaminate,
     "op7_fingerprints": spotsigs.op7_fingerprints,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_lm_scores": lm_scoring.op9_lm_scores,
     "op10_pii": pii.op10_pii,
 }
 
