@@ -11,9 +11,9 @@ bound min / max already falls below the floor cannot reach it and is not interse
 
 ``edit_likeness`` compares each text with an edited copy (its end replaced by the start
 of the next document in id order) and with the next document. Documents are range-
-partitioned and sorted by id; each partition streams through with one document held
-back, and only the first and the last document of every partition meet in a second,
-small step, so no global window is needed.
+partitioned and sorted by id, the first document of each range is also sent to the range
+before it, and a range streams through with one document held back, so no global window
+is needed and each text moves once.
 
 Defined results: null texts are empty; texts without words have an empty fingerprint,
 and two empty fingerprints have likeness 1; a text with words but no spot (no anchor, or
@@ -30,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import materialise
 from .wordcols import SEPARATOR, Words, distinct, letters_only, mix, slices, text_buffer
 
 CHAIN = 2
+#: Stands for a null id while ranges are formed: the smallest long.
+_NULL_ID = -(1 << 63)
 #: One in so many other words (by hash) is an anchor too: lists have no function words.
 EVERY = 8
 #: Below so many words a fingerprint also holds single words, or runs of three bytes.
@@ -145,7 +145,6 @@ def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprin
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_EDGE = "part int, side int, edge_id long, edge_text string"
 _RESULT_NAMES = [f.split()[0] for f in _RESULT.split(", ")]
 
 
@@ -167,61 +166,65 @@ def _compare(ids: list, texts: list[str], sets: list[np.ndarray], nexts: list[st
     ]
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares each document of a sorted partition with its successor; sends the ends of the partition on."""
-    part = TaskContext.get().partitionId()
-    held: tuple | None = None
-    names = [*_RESULT_NAMES, "part", "side", "edge_id", "edge_text"]
+def _deal(bounds: np.ndarray, firsts: dict[int, int]):
+    """Adds each row's range (``part``) and copies the first document of each range to the range before it."""
 
-    def row(columns: list[pa.Array]) -> pa.RecordBatch:
-        n = len(columns[0])
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.array(sorted(firsts), dtype=np.int64)
+        sends = np.array([firsts[x] for x in starts.tolist()], dtype=np.int32)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            part = np.searchsorted(bounds, ids, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(np.zeros(len(ids), dtype=np.int8))], names=["doc_id", "text", "part", "ahead"])
+            at = np.minimum(np.searchsorted(starts, ids), len(starts) - 1)
+            copies = np.flatnonzero(starts[at] == ids)
+            if len(copies):
+                own = batch.take(pa.array(copies))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sends[at[copies]]), pa.array(np.ones(len(copies), dtype=np.int8))], names=["doc_id", "text", "part", "ahead"])
 
-    def edge(side: int, doc: tuple) -> pa.RecordBatch:
-        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
-        return pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int32()), pa.array([side], pa.int32()), pa.array([doc[0]], pa.int64()), pa.array([doc[1]], pa.string())], names=names)
+    return deal
 
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares each document of a sorted range with its successor; a range ends with the copies from the next one."""
+    held: tuple | None = None
     for batch in batches:
         for piece in slices(batch, "text"):
             column = piece.column(1).fill_null("")
             values, bounds = spot_sets(*text_buffer(column))
-            ids, texts = piece.column(0).to_pylist(), column.to_pylist()
-            sets = [values[bounds[i] : bounds[i + 1]] for i in range(len(ids))]
-            if held is None:
-                yield edge(0, (ids[0], texts[0]))
-            else:
-                ids, texts, sets = [held[0], *ids], [held[1], *texts], [held[2], *sets]
-            held = (ids[-1], texts[-1], sets[-1])
-            if len(ids) > 1:
-                yield row(_compare(ids[:-1], texts[:-1], sets[:-1], texts[1:], sets[1:]))
-    if held is not None:
-        yield edge(1, held)
-
-
-def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in slices(batch, "text"):
-            texts, nexts = piece.column(1).to_pylist(), piece.column(2).fill_null("").to_pylist()
-            both = []
-            for side in (texts, nexts):
-                values, bounds = spot_sets(*text_buffer(pa.array(side, pa.string())))
-                both.append([values[bounds[i] : bounds[i + 1]] for i in range(len(side))])
-            yield pa.RecordBatch.from_arrays(_compare(piece.column(0).to_pylist(), texts, both[0], nexts, both[1]), names=_RESULT_NAMES)
+            rows = list(zip(piece.column(0).to_pylist(), column.to_pylist(), [values[bounds[i] : bounds[i + 1]] for i in range(piece.num_rows)], piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True))
+            if held is not None:
+                rows.insert(0, held)
+            held = rows[-1]
+            pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[3] == b[3] and not a[4]]
+            if pairs:
+                yield pa.RecordBatch.from_arrays(_compare([a[0] for a, _ in pairs], [a[1] for a, _ in pairs], [a[2] for a, _ in pairs], [b[1] for _, b in pairs], [b[2] for _, b in pairs]), names=_RESULT_NAMES)
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and its edited copy, and the likeness to that and to the next document."""
+    """Fingerprints of each text and its edited copy, and the likeness to that and to the next document.
+
+    Only ids are looked at to find the ranges (bounds and first ids, eight ranges a
+    shuffle partition); texts then move once, each range with the first document of the
+    next one behind its own.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    found = materialise(ordered.mapInArrow(_walk, f"{_RESULT}, {_EDGE}"), "spots")
-    #: Two rows a partition: the first and the last document.
-    ends = found.where("side IS NOT NULL").select("part", "side", "edge_id", "edge_text")
-    following = Window.orderBy("part", "side")
-    first = ends.where("side = 0").orderBy("part").limit(1).select(F.col("edge_text").alias("first_text"))
-    paired = ends.withColumn("next_text", F.lead("edge_text").over(following)).where("side = 1").join(F.broadcast(first), how="left")
-    last = paired.select(F.col("edge_id").alias("doc_id"), F.col("edge_text").alias("text"), F.coalesce("next_text", "first_text").alias("next_text"))
-    return found.where("side IS NULL").select(*_RESULT_NAMES).unionByName(last.mapInArrow(_join_ends, _RESULT))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    ranges = 8 * parts
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).collect()[0][0]
+    bounds = np.array(sorted(set(cuts or [])), dtype=np.int64)
+    number = F.lit(0)
+    if len(bounds):
+        steps = F.array(*[F.lit(int(b)) for b in bounds])
+        number = F.size(F.filter(steps, lambda b: b <= F.col("doc_id")))
+    low = {r["part"]: r["low"] for r in rows.groupBy(number.alias("part")).agg(F.min("doc_id").alias("low")).collect()}
+    order = sorted(low)
+    firsts = {low[p]: order[i - 1] for i, p in enumerate(order)}
+    dealt = rows.mapInArrow(_deal(bounds, firsts), "doc_id long, text string, part int, ahead byte")
+    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
+    out = ordered.select("doc_id", "text", "part", "ahead").mapInArrow(_walk, _RESULT)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
