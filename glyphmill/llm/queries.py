@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, lm_scoring, mixing, near_dedup, pii, spotsigs, toxicity
+from . import decontamination, language_id, lm_scoring, mixing, near_dedup, pii, quality, spotsigs, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix": mixing.op5_mix,
     "op6_decontaminate": decontamination.op6_decontaminate,

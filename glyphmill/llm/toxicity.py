@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     #: The silence of the whole lexicon is a vote of its own; single abstentions are no evidence.
     votes[~(votes[:, : len(lexicon)] == 1).any(axis=1), -1] = 0
     #: What the labels say of each voter is the belief that the label model starts from.
-    label_model = fit_label_model(votes, float(toxic.mean()), labelled_beliefs(votes, toxic), prior_weight=float(len(rows)), strength=0.2 * len(rows))
+    label_model = fit_label_model(votes, float(toxic.mean()), labelled_beliefs(votes, toxic), prior_weight=float(len(rows)), strength=0.2 * len(rows), apart=(votes.shape[1] - 1,))
     posterior = label_model.posterior(votes)
     weights, bias = fit_linear(rows, None, posterior, len(hashes), np.ones(len(rows)), epochs=150, decay=1e-6, bias=-2.0)
     weights = np.maximum(weights, 0.0)

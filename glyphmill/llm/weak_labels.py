@@ -57,13 +57,14 @@ def labelled_beliefs(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.clip(out / out.sum(axis=1, keepdims=True), 1e-4, 1)
 
 
-def fit_label_model(votes: np.ndarray, prior: float, believed: np.ndarray, rounds: int = 30, strength: float = 10.0, prior_weight: float = 0.0) -> LabelModel:
+def fit_label_model(votes: np.ndarray, prior: float, believed: np.ndarray, rounds: int = 30, strength: float = 10.0, prior_weight: float = 0.0, apart: tuple[int, ...] = ()) -> LabelModel:
     """Expectation-maximisation for the accuracies and correlations of voters.
 
     ``believed`` (P(vote | class), as ``strength`` pseudo votes) decides which class is
     which. Correlation: voters that agree beyond what the classes explain share their
     weight, ``1 / (1 + sum of squared conditional correlations)``, so that near-copies
-    of one voter count about once.
+    of one voter count about once. Voters ``apart`` (such as the silence of all others,
+    which depends on them by definition) take no part in that.
     """
     n, m = votes.shape
     onehot = np.eye(3)[np.where(votes < 0, 2, votes)]  # n x m x 3
@@ -77,10 +78,13 @@ def fit_label_model(votes: np.ndarray, prior: float, believed: np.ndarray, round
         model.table = np.clip(table, 1e-4, 1)
         model.prior = float(np.clip((p.sum() + prior_weight * prior) / max(1e-9, n + prior_weight), 1e-3, 1 - 1e-3))
         if turn in (4, 12):
-            yes = (votes == 1).astype(float)
-            rest = yes - (p[:, None] * model.table[None, :, 1, 1] + (1 - p)[:, None] * model.table[None, :, 1, 0])
-            spread = np.sqrt((rest * rest).mean(axis=0)) + 1e-9
-            corr = (rest.T @ rest) / n / spread[:, None] / spread[None, :]
+            side = (votes == 1).astype(float) - (votes == 0)
+            mean = model.table[:, 1, :] - model.table[:, 0, :]
+            rest = side - (p[:, None] * mean[None, :, 1] + (1 - p)[:, None] * mean[None, :, 0])
+            spread = np.sqrt((rest * rest).mean(axis=0))
+            speaks = (votes >= 0).any(axis=0) & (spread > 1e-6)
+            speaks[list(apart)] = False
+            corr = np.where(speaks[:, None] & speaks[None, :], (rest.T @ rest) / n / np.maximum(spread[:, None] * spread[None, :], 1e-12), 0.0)
             np.fill_diagonal(corr, 0)
             model.weight = 1 / (1 + (np.clip(corr, 0, 1) ** 2).sum(axis=1))
     return model
