@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, lm_scoring, mixing, near_dedup, pii, quality, spotsigs, toxicity
+from . import decontamination, language_id, lm_scoring, mixing, near_dedup, pii, quality, spotsigs, tool_links, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_tool_links": tool_links.op2_tool_links,
     "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix": mixing.op5_mix,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_tool_links": tool_links.OP2_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
 }
