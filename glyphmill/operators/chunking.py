@@ -41,8 +41,9 @@ def line_chunks(text: Column, most: int = MAX_VISIBLE) -> Column:
     many = F.aggregate(lines, begin, step, finish)
     one = F.array(F.struct(F.lit(0).alias("start"), length.alias("end"), whole.alias("nws")))
     spans = F.when(whole <= most, one).otherwise(many)
-    last = F.size(spans) - 1
-    return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["start"].alias("raw_start"), F.when(i == last, length).otherwise(s["end"] + 1).alias("raw_end"), s["nws"].alias("nws")))
+    tile = lambda all_, s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["start"].alias("raw_start"), F.when(i == F.size(all_) - 1, length).otherwise(s["end"] + 1).alias("raw_end"), s["nws"].alias("nws"))
+    #: The one-element array names the spans, so that the inner lambda does not compute them again.
+    return F.transform(F.array(spans), lambda all_: F.transform(all_, lambda s, i: tile(all_, s, i))).getItem(0)
 
 
 def chunk_table(files: DataFrame, most: int = MAX_VISIBLE) -> DataFrame:

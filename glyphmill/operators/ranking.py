@@ -78,11 +78,17 @@ def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, keys: list[str], w_vec
     return both.groupBy(*keys).agg(F.sum("part").alias("score"), F.max("source").alias("source"))
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """A result of at most a few dozen rows (a top-k by construction) as literal rows, so that later stages do not compute it again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def hybrid(vector_hits: DataFrame, lexical_hits: DataFrame, keys: list[str], **weights) -> DataFrame:
-    """Fusion, or the raw vector scores where nothing matches lexically (QK9)."""
-    any_lexical = lexical_hits.agg((F.count(F.lit(1)) > 0).alias("_any"))
-    raw = vector_hits.select(*keys, "score", F.lit("vector").alias("source")).join(F.broadcast(any_lexical.where("NOT _any"))).drop("_any")
-    return fuse(vector_hits, lexical_hits, keys, **weights).join(F.broadcast(any_lexical.where("_any"))).drop("_any").unionByName(raw)
+    """Fusion of two top-k results, or the raw vector scores where nothing matches lexically (QK9)."""
+    lexical = pinned(lexical_hits)
+    if lexical.isEmpty():
+        return vector_hits.select(*keys, "score", F.lit("vector").alias("source"))
+    return fuse(vector_hits, lexical, keys, **weights)
 
 
 def merge_variants(hits: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -23,11 +23,6 @@ class Index:
     links: DataFrame | None = None
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """A result of at most a few dozen rows (a top-k by construction) as literal rows, so that later stages do not compute it again."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def with_code(index: Index, rows: DataFrame) -> DataFrame:
     """Rows keyed by (path, chunk_index) with spans, breadcrumb and code."""
     spans = rows.join(index.chunks.select("path", "chunk_index", "start", "end", "raw_start", "raw_end", "breadcrumb"), ["path", "chunk_index"])
@@ -49,9 +44,9 @@ def retrieve(index: Index, query: str, vector: list[float] | None = None, config
         else:
             found = lexical
         found = found.withColumn("variant", F.lit(i))
-        found = pinned(found.limit(config.lexical_total + config.vector_top_m))
+        found = ranking.pinned(found.limit(config.lexical_total + config.vector_top_m))
         every = found if every is None else every.unionByName(found)
-    merged = pinned(ranking.merge_variants(every, keys, "variant").orderBy(F.desc("score"), *keys).limit(config.fused_top_m))
+    merged = ranking.pinned(ranking.merge_variants(every, keys, "variant").orderBy(F.desc("score"), *keys).limit(config.fused_top_m))
     tokens = tokens_of(query)
     read = with_code(index, merged).withColumn("text", F.concat_ws(" ", "breadcrumb", "code"))
     return rerank.rerank(read, "text", tokens, keys, config.rerank_top_n).select(*keys, "score")
@@ -62,13 +57,13 @@ def context(index: Index, query: str, vector: list[float] | None = None, config:
     config = config or SearchConfig()
     keys = ["query_id", "path", "chunk_index"]
     hits = retrieve(index, query, vector, config, terms, deep).withColumn("query_id", F.lit(0))
-    seeds = pinned(ranking.smart_cutoff(hits, ["query_id"], ["path", "chunk_index"], config.ratio, config.delta, config.floor, config.min_k, config.max_k).select(*keys, "score"))
+    seeds = ranking.pinned(ranking.smart_cutoff(hits, ["query_id"], ["path", "chunk_index"], config.ratio, config.delta, config.floor, config.min_k, config.max_k).select(*keys, "score"))
     stages = [seeds, expansion.neighbours(seeds, index.chunks, config.neighbor_hops), expansion.breadcrumb_siblings(seeds, index.chunks, config.breadcrumb_limit)]
     if index.links is not None and config.import_files:
         for reverse, decay in ((False, 0.6), (True, 0.5)):
             files = expansion.linked_files(seeds, index.links, reverse, config.import_files, decay)
             stages.append(files.join(index.chunks.where(F.col("chunk_index") < 3).select("path", "chunk_index"), "path").select(*keys, "score"))
-    picked = pinned(expansion.first_stage_wins(stages, keys))
+    picked = ranking.pinned(expansion.first_stage_wins(stages, keys))
     spans = picked.join(index.chunks.select("path", "chunk_index", "raw_start", "raw_end"), ["path", "chunk_index"])
     segments = expansion.best_segments(expansion.merge_intervals(spans, ["query_id", "path"]), ["query_id", "path"], config.max_segments)
     packed = expansion.pack(segments, config.max_chars)
