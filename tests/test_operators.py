@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.config import load_config
 from glyphmill.functions import text as tx
 from glyphmill.functions.query_text import ResultCache, query_variants, tokens_of, variants_of
-from glyphmill.operators import chunking, expansion, imports, maintenance, ranking, rerank, symbols
+from glyphmill.operators import chunking, expansion, imports, maintenance, ranking, render, rerank, symbols
 from glyphmill.sources.catalog import Catalog
 from glyphmill.sources.corpus import compile_ignore, crawl, is_ignored
 from glyphmill.streaming.watch import watch
@@ -152,3 +152,13 @@ def test_bm25_short_phrases(spark, empty):
     df = spark.createDataFrame([("a", "some text"), ("b", None)], "k string, t string")
     assert ranking.bm25(df, ["k"], ["t"], ["so"], empty).count() == 0
     assert [r.k for r in ranking.bm25(df, ["k"], ["t"], ["some"], empty).collect()] == ["a"]
+
+
+def test_renderers(spark):
+    files = spark.createDataFrame([("a.py", "x = 1\ny = 2\nz = 3\n", "python", 18)], "path string, content string, language string, size long")
+    packed = spark.createDataFrame([(1, "a.py", 12, 18, "z = 3\n"), (0, "a.py", 0, 6, "x = 1\n")], "position int, path string, raw_start int, raw_end int, text string")
+    lines = render.with_lines(packed, files)
+    text = render.markdown(lines).first()[0]
+    assert text.index("L1-L1") < text.index("L3-L3") and "```python\nx = 1" in text
+    assert render.as_json(lines).first()[0].startswith('[{"position":0,"path":"a.py","first_line":1')
+    assert render.file_lines(files).first().line == "a.py (python, 18 B)"
