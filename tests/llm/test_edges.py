@@ -182,6 +182,38 @@ def test_lm(docs, none):
     assert lm_scoring.score(held, empty).count() == len(ROWS) and lm_scoring.score(held.where("false"), model).count() == 0
 
 
+def test_lm_scores_use_every_ngram(spark):
+    """Scores equal brute-force interpolated discounting over all pairs and triples, rare words and singletons included."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, int(rng.integers(0, 60))) % 20000) for _ in range(300)]
+    rows = [(i, t, i % 5 == 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.train(docs.where("NOT held_out"))).collect()}
+    grams: list[dict] = [{}, {}, {}, {}]
+    for _, t, held in rows:
+        w = (*t.split(), None)
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                if not held:
+                    grams[n][w[i : i + n]] = grams[n].get(w[i : i + n], 0) + 1
+    after: dict = {}
+    for n in (2, 3):
+        for g in grams[n]:
+            after[g[:-1]] = after.get(g[:-1], 0) + 1
+    total = sum(grams[1].values()) + len(grams[1]) + 1
+    d = {n: (sum(c == 1 for c in grams[n].values()) + 1) / (sum(c == 1 for c in grams[n].values()) + 2 * sum(c == 2 for c in grams[n].values()) + 2) for n in (2, 3)}
+    for i, t, _ in rows:
+        w, want = (*t.split(), None), 0.0
+        for j in range(len(w)):
+            p = (grams[1].get(w[j : j + 1], 0) + 1) / total
+            for n in (2, 3):
+                h = w[j - n + 1 : j]
+                if j >= n - 1 and grams[n - 1].get(h):
+                    p = (max(grams[n].get((*h, w[j]), 0) - d[n], 0) + d[n] * after.get(h, 0) * p) / grams[n - 1][h]
+            want += np.log10(p)
+        assert got[i].score == pytest.approx(want), i
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(0)
     for n, universe in ((0, 10), (1, 1), (1000, 5000), (5000, 10**9), (300, 300)):
