@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parent_breadcrumb
+from ..functions.text import overlap_score, parent_breadcrumb
+
+#: Files that only pass on what others export.
+BARREL = r"(?i)/(?:__init__\.py|mod\.rs|index\.(?:ts|tsx|js|jsx|mts|mjs|cts|cjs))$"
 
 
 def neighbours(seeds: DataFrame, chunks: DataFrame, hops: int = 2, decay: float = 0.8) -> DataFrame:
@@ -31,14 +34,20 @@ def breadcrumb_siblings(seeds: DataFrame, chunks: DataFrame, limit: int = 3, dec
 
 
 def linked_files(seeds: DataFrame, links: DataFrame, reverse: bool = False, per_seed: int = 3, decay: float = 0.6) -> DataFrame:
-    """Files that seed files import (or that import them, ``reverse``), with the best decayed seed score."""
+    """Files that seed files import (or that import them, ``reverse``), with the best decayed seed score.
+
+    An imported barrel file passes on up to two of its own imports, at 0.7 of the score.
+    """
     near, far = ("dst", "src") if reverse else ("src", "dst")
     best = seeds.groupBy("query_id", "path").agg(F.max("score").alias("score"))
-    met = best.join(links.select(F.col(near).alias("path"), F.col(far).alias("other")).distinct(), "path").where("path <> other")
-    met = met.join(best.select("query_id", F.col("path").alias("other")), ["query_id", "other"], "left_anti")
+    edges = links.select(F.col(near).alias("path"), F.col(far).alias("other")).distinct().where("path <> other")
+    unseen = lambda df: df.join(edges, "path").join(best.select("query_id", F.col("path").alias("other")), ["query_id", "other"], "left_anti")
+    met = unseen(best)
     if not reverse:
         nth = F.row_number().over(Window.partitionBy("query_id", "path").orderBy("other"))
         met = met.withColumn("nth", nth).where(F.col("nth") <= per_seed)
+        barrels = met.where(F.col("other").rlike(BARREL)).groupBy("query_id", F.col("other").alias("path")).agg((F.max("score") * 0.7).alias("score"))
+        met = met.unionByName(unseen(barrels).withColumn("nth", nth).where(F.col("nth") <= min(per_seed, 2)))
         return met.groupBy("query_id", F.col("other").alias("path")).agg((F.max("score") * decay).alias("score"))
     scored = met.groupBy("query_id", F.col("other").alias("path")).agg((F.max("score") * decay).alias("score"))
     seeds_per_query = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
@@ -46,6 +55,15 @@ def linked_files(seeds: DataFrame, links: DataFrame, reverse: bool = False, per_
     return scored.join(seeds_per_query, "query_id").withColumn("nth", nth).where(F.col("nth") <= F.col("n") * per_seed).select("query_id", "path", "score")
 
 
+def chunks_of_files(files: DataFrame, read: DataFrame, tokens: list[str], most: int = 3) -> DataFrame:
+    """The chunks of linked files that share most with the query (``read`` has their text), or the first ones where none does."""
+    scored = files.join(read.select("path", "chunk_index", overlap_score(F.col("text"), tokens).alias("overlap")), "path")
+    own = Window.partitionBy("query_id", "path")
+    nth = F.row_number().over(own.orderBy(F.desc("overlap"), "chunk_index"))
+    kept = scored.withColumn("best", F.max("overlap").over(own)).withColumn("nth", nth).where((F.col("nth") <= most) & ((F.col("overlap") > 0) | (F.col("best") == 0)))
+    return kept.select("query_id", "path", "chunk_index", "score")
+
+
 def first_stage_wins(stages: list[DataFrame], keys: list[str]) -> DataFrame:
     """Union in stage order; the first stage that has a key keeps it (U4)."""
     every = None

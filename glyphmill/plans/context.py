@@ -62,7 +62,8 @@ def context(index: Index, query: str, vector: list[float] | None = None, config:
     if index.links is not None and config.import_files:
         for reverse, decay in ((False, 0.6), (True, 0.5)):
             files = expansion.linked_files(seeds, index.links, reverse, config.import_files, decay)
-            stages.append(files.join(index.chunks.where(F.col("chunk_index") < 3).select("path", "chunk_index"), "path").select(*keys, "score"))
+            read = with_code(index, index.chunks.join(files.select("path").distinct(), "path", "left_semi").select("path", "chunk_index"))
+            stages.append(expansion.chunks_of_files(files, read.withColumn("text", F.concat_ws(" ", "breadcrumb", "code")), tokens_of(query)))
     picked = ranking.pinned(expansion.first_stage_wins(stages, keys))
     spans = picked.join(index.chunks.select("path", "chunk_index", "raw_start", "raw_end"), ["path", "chunk_index"])
     segments = expansion.best_segments(expansion.merge_intervals(spans, ["query_id", "path"]), ["query_id", "path"], config.max_segments)

@@ -162,3 +162,17 @@ def test_renderers(spark):
     assert text.index("L1-L1") < text.index("L3-L3") and "```python\nx = 1" in text
     assert render.as_json(lines).first()[0].startswith('[{"position":0,"path":"a.py","first_line":1')
     assert render.file_lines(files).first().line == "a.py (python, 18 B)"
+
+
+def test_linked_chunks_by_overlap(spark):
+    files = spark.createDataFrame([(0, "a", 0.5), (0, "b", 0.4)], "query_id int, path string, score double")
+    texts = [("a", i, "alpha beta" if i == 7 else "alpha" if i == 5 else "other") for i in range(9)] + [("b", i, "other") for i in range(5)]
+    got = expansion.chunks_of_files(files, spark.createDataFrame(texts, "path string, chunk_index int, text string"), ["alpha", "beta"]).collect()
+    assert sorted((r.path, r.chunk_index) for r in got) == [("a", 5), ("a", 7), ("b", 0), ("b", 1), ("b", 2)]
+
+
+def test_barrel_imports(spark):
+    links = spark.createDataFrame([("s.ts", "lib/index.ts"), ("lib/index.ts", "lib/a.ts"), ("lib/index.ts", "lib/b.ts"), ("lib/index.ts", "lib/c.ts"), ("lib/a.ts", "lib/d.ts")], "src string, dst string")
+    seeds = spark.createDataFrame([(0, "s.ts", 0, 1.0)], "query_id int, path string, chunk_index int, score double")
+    got = {r.path: r.score for r in expansion.linked_files(seeds, links).collect()}
+    assert got == {"lib/index.ts": pytest.approx(0.6), "lib/a.ts": pytest.approx(0.42), "lib/b.ts": pytest.approx(0.42)}
