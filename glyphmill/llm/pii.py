@@ -57,14 +57,14 @@ EXTRA = {
     0: (r"(?i)(?:\(at\)|\[at\]|\{at\})", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}+)++"),
     2: (r"[0-9]{4}[ -]?[0-9]{4}", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
     3: (r"[0-9]{3}[ .-][0-9]{4}", r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    4: (r"[=:] ?[\"'`]?[A-Za-z0-9]{16}", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,128}+(?![A-Za-z0-9_+/-])"),
+    4: (r"[=:] ?[\"'`]?[A-Za-z0-9_+/-]{16}", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+"),
 }
 _STRICT = (
     rf"^[A-Za-z0-9]{_LOCAL}*+(?<![.])@{_LABEL}++(?:\.{_LABEL}++)*+(?<=\.[A-Za-z]{{2,18}})$",
     r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$",
     r"^(?:[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -]?[0-9]{1,3})?)$",
     r"^(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}$",
-    r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|[A-Za-z0-9_+/-]{20,128})$",
+    r"^(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|[A-Za-z0-9_+/-]{20,}+)$",
 )
 #: Words that announce a kind, and known endings, first digits and codes.
 _CONTEXT = (

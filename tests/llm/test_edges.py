@@ -255,6 +255,15 @@ def test_pii(spark, none):
     assert pii.redact(none).count() == 0
 
 
+def test_pii_finds_prefixed_and_long_secrets(spark):
+    secrets = ["ghp_" + "aB3dE6gH9j" * 3, "sk-" + "a1B2c3D4e5" * 3, "xoxb-12345-" + "Ab9" * 8, "ab+/" + "Cd3_" * 7, "0123456789abcdef" * 12]
+    df = spark.createDataFrame([(i, f'token = "{x}" end') for i, x in enumerate(secrets)], "doc_id long, text string")
+    for r in df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect():
+        assert [(c.start, c.end) for c in r.c if c.kind == 4] == [(9, 9 + len(secrets[r.doc_id]))], r.doc_id
+    got = pii.redact(df).orderBy("doc_id").collect()
+    assert not [r.text for r, x in zip(got, secrets, strict=True) if x in r.text]
+
+
 def brute_force(text: str) -> str:
     def luhn(s: str) -> bool:
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
