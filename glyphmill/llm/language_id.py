@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .support import fresh, held_out
-from .wordcols import slices, text_buffer
+from .wordcols import lean, slices, text_buffer
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(out.tolist(), pa.string()), pa.array(np.where(known, np.clip(top, 0, 1), 0.0))], names=[*part.schema.names[:-1], pred, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.withColumn(letters, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(label, schema)
+    return docs.withColumn(letters, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(lean(label), schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

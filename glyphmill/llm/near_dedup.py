@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .support import fresh, materialise, small
-from .wordcols import Words, mix, slices
+from .wordcols import Words, lean, mix, slices
 
 TREES, DEPTH, MIN_PREFIX = 20, 8, 4
 REGION = 256
@@ -223,12 +223,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").select("cluster", "x", "y", "rep", "set").mapInArrow(_confirm, _EDGES)
+    return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").select("cluster", "x", "y", "rep", "set").mapInArrow(lean(_confirm), _EDGES)
 
 
 def node_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows of (``doc_id``, ``text``), and the nodes: one ``rep`` per distinct set."""
-    signed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "near-signatures")
+    signed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_sign), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "near-signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = materialise(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "near-nodes")
     return signed, reps
@@ -243,7 +243,7 @@ def candidate_edges(signed: DataFrame, reps: DataFrame) -> DataFrame:
     regions = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1"), "near-regions")
     members = materialise(keyed.join(small(regions, regions.count()), "key"), "near-region-members")
     searched = members.where(F.col("size") <= REGION).select("key", "rep").join(nodes, "rep").select("key", "rep", "sig")
-    found = searched.repartition("key").sortWithinPartitions("key").mapInArrow(_search_regions, _EDGES)
+    found = searched.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_search_regions), _EDGES)
     whole = members.where((F.col("size") > REGION) & (F.col("rep") != F.col("hub"))).select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     return found.unionByName(whole)
 
@@ -255,7 +255,7 @@ def exact_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFr
     sizes = materialise(sizes.select("label", F.least(blocks, F.col("rows").cast("int")).alias("blocks")), "near-cluster-sizes")
     placed = clusters.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
     texts = docs.join(small(placed, placed.count()), "doc_id").select("doc_id", "cluster", "text")
-    sets = materialise(texts.mapInArrow(_spell, "rep long, cluster long, set binary"), "near-sets")
+    sets = materialise(texts.mapInArrow(lean(_spell), "rep long, cluster long, set binary"), "near-sets")
     n_sizes = sizes.count()
     sized = sets.join(small(sizes.withColumnRenamed("label", "cluster"), n_sizes), "cluster")
     salts = F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .spotsigs import ANCHORS
 from .support import fresh
 from .weak_labels import accuracy_beliefs, fit_label_model, fit_linear
-from .wordcols import LETTER, Words, letters_only, mix, slices, text_buffer
+from .wordcols import LETTER, Words, lean, letters_only, mix, slices, text_buffer
 
 SAMPLE = 8000
 BUCKETS = 1 << 14
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Qual
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, said.size + 1, said.shape[1]), pa.int32()), pa.array(said.astype(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), flat, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(share))], ["id", "votes", "bucket", "share"])
 
-    got = sample.mapInArrow(describe, "id long, votes array<int>, bucket array<int>, share array<double>").toPandas().sort_values("id", kind="stable")
+    got = sample.mapInArrow(lean(describe), "id long, votes array<int>, bucket array<int>, share array<double>").toPandas().sort_values("id", kind="stable")
     if not len(got):
         return QualityModel(np.zeros(BUCKETS), 0.0, {})
     said = np.stack(got["votes"].to_numpy()).astype(np.int64)
@@ -196,7 +196,7 @@ def score_texts(docs: DataFrame, model: QualityModel, text_col: str = "text") ->
                 found = model.score(*text_buffer(part.column(part.schema.get_field_index(text_col))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, score])
 
-    return docs.mapInArrow(rate, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])).withColumn(kept, F.col(score) >= KEEP)
+    return docs.mapInArrow(lean(rate), T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])).withColumn(kept, F.col(score) >= KEEP)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

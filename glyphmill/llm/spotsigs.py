@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordcols import SEPARATOR, Words, distinct, letters_only, mix, slices, text_buffer
+from .wordcols import SEPARATOR, Words, distinct, lean, letters_only, mix, slices, text_buffer
 
 CHAIN = 2
 #: Stands for a null id while ranges are formed: the smallest long.
@@ -141,7 +141,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprin
                 made = [written(sets[bounds[i] : bounds[i + 1]]) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    return docs.mapInArrow(lean(add), T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -221,9 +221,9 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     low = {r["part"]: r["low"] for r in rows.groupBy(number.alias("part")).agg(F.min("doc_id").alias("low")).collect()}
     order = sorted(low)
     firsts = {low[p]: order[i - 1] for i, p in enumerate(order)}
-    dealt = rows.mapInArrow(_deal(bounds, firsts), "doc_id long, text string, part int, ahead byte")
+    dealt = rows.mapInArrow(lean(_deal(bounds, firsts)), "doc_id long, text string, part int, ahead byte")
     ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
-    out = ordered.select("doc_id", "text", "part", "ahead").mapInArrow(_walk, _RESULT)
+    out = ordered.select("doc_id", "text", "part", "ahead").mapInArrow(lean(_walk), _RESULT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .support import fresh, held_out, materialise
 from .weak_labels import fit_label_model, fit_linear, labelled_beliefs
-from .wordcols import LETTER, Words, letters_only, mix, slices, text_buffer
+from .wordcols import LETTER, Words, lean, letters_only, mix, slices, text_buffer
 
 THRESHOLD = 0.3
 SAMPLE = 20_000
@@ -42,22 +42,21 @@ FEATURES, VOTERS = 3000, 200
 PRECISION = 0.75
 PREFIXES = (3, 4, 5, 6, 7)
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text index and hash of each letter run and of its prefixes, repeats included."""
+
+def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text index and hash, repeats included, first of letter runs, then of their prefixes, one length at a time."""
     words = Words(letters_only(data), offsets)
     if not len(words.start):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return
+    doc = words.doc
+    yield doc, mix(words.hash + np.uint64(1))
     char_starts = np.flatnonzero((words.data & 0xC0) != 0x80)
     at = np.searchsorted(char_starts, words.start)
     char_starts = np.append(char_starts, np.full(max(PREFIXES) + 1, len(data)))
-    doc = words.doc
-    docs, hashes = [doc], [mix(words.hash + np.uint64(1))]
     for k in PREFIXES:
         end = char_starts[at + k]
         long = end < words.end
-        docs.append(doc[long])
-        hashes.append(words.span_hash(words.start[long], end[long]))
-    return np.concatenate(docs), np.concatenate(hashes)
+        yield doc[long], words.span_hash(words.start[long], end[long])
 
 
 def pattern_votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -87,17 +86,20 @@ class ToxicityModel:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z = np.full(len(offsets) - 1, self.bias)
         if len(self.hashes):
-            doc, index = known(*features(data, offsets), self.hashes)
+            doc, index = known(features(data, offsets), self.hashes)
             z += np.bincount(doc, self.weights[index], minlength=len(z))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def known(doc: np.ndarray, value: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, index) of the values that occur in sorted ``hashes``."""
-    index = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-    hit = hashes[index] == value
-    pairs = np.unique(doc[hit].astype(np.int64) * len(hashes) + index[hit])
-    return pairs // len(hashes), pairs % len(hashes)
+def known(found: Iterator[tuple[np.ndarray, np.ndarray]], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, index) of the found values that occur in sorted ``hashes``, in order of the text."""
+    pairs = [np.zeros(0, dtype=np.int64)]
+    for doc, value in found:
+        index = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
+        hit = hashes[index] == value
+        pairs.append(np.unique(doc[hit].astype(np.int64) * len(hashes) + index[hit]))
+    every = np.unique(np.concatenate(pairs))
+    return every // len(hashes), every % len(hashes)
 
 
 def independent(rows: list[np.ndarray], toxic: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -124,16 +126,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             toxic = part.column(part.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
-            doc, value = features(*text_buffer(part.column(part.schema.get_field_index("text"))))
-            order = np.lexsort((doc, value))
-            doc, value = doc[order], value[order]
-            new = np.ones(len(doc), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-            doc, value = doc[new], value[new]
-            names, inverse = np.unique(value, return_inverse=True)
-            yes = np.bincount(inverse, toxic[doc], minlength=len(names)).astype(np.int64)
-            all_ = np.bincount(inverse, minlength=len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(yes), pa.array(all_ - yes)], ["feature", "toxic", "clean"])
+            data, offsets = text_buffer(part.column(part.schema.get_field_index("text")))
+            for doc, value in features(data, offsets):
+                order = np.lexsort((doc, value))
+                doc, value = doc[order], value[order]
+                new = np.ones(len(doc), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+                doc, value = doc[new], value[new]
+                names, inverse = np.unique(value, return_inverse=True)
+                yes = np.bincount(inverse, toxic[doc], minlength=len(names)).astype(np.int64)
+                all_ = np.bincount(inverse, minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(yes), pa.array(all_ - yes)], ["feature", "toxic", "clean"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity sample")), F.lit(1_000_000)) / 1e6
     chosen = F.broadcast(known_labels.where(draw < min(1.0, SAMPLE / (n_toxic + n_clean))))  # about SAMPLE rows by construction
     sample = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", "toxic"), "toxicity-sample")
-    counts = sample.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(lean(_count), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     #: Signed likelihood-ratio statistic of the 2 x 2 table (feature, label).
     drawn = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     a, b, na, nb = F.col("toxic"), F.col("clean"), float(max(1, drawn.get(1, 0))), float(max(1, drawn.get(0, 0)))
@@ -169,14 +172,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffer(part.column(1))
-                doc, index = known(*features(data, offsets), hashes)
+                doc, index = known(features(data, offsets), hashes)
                 bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(index, pa.int32()))
                 votes = pattern_votes(data, offsets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, votes.size + 1, votes.shape[1]), pa.int32()), pa.array(votes.astype(np.int32).ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, flat, part.column(2)], ["id", "index", "votes", "toxic"])
 
-    described = sample.mapInArrow(describe, "id long, index array<int>, votes array<int>, toxic int").toPandas().sort_values("id", kind="stable")
+    described = sample.mapInArrow(lean(describe), "id long, index array<int>, votes array<int>, toxic int").toPandas().sort_values("id", kind="stable")
     rows = [np.asarray(x, dtype=np.int64) for x in described["index"]]
     toxic = described["toxic"].to_numpy()
     lexicon = independent(rows, toxic, order)
@@ -207,7 +210,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(rate, schema).withColumn(predicted, F.when(F.col(score) >= THRESHOLD, 1).otherwise(0).cast("int"))
+    return docs.mapInArrow(lean(rate), schema).withColumn(predicted, F.when(F.col(score) >= THRESHOLD, 1).otherwise(0).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

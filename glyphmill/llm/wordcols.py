@@ -9,19 +9,24 @@ that "word", "lower case" and "shingle" mean the same thing everywhere:
   word sequence as its only shingle; a text without words has none.
 
 All arrays are flat over a batch of texts with an offset array, never one Python
-object per word, and batches are cut to a byte budget so memory stays bounded.
+object per word. Batches are cut to a byte budget; a single longer text is hashed in
+pieces of ``HASH_BYTES``, so that it costs a few bytes a byte. ``lean`` gives what a
+partition needed back to the system, for a worker process outlives its tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SHINGLE_WORDS = 5
 #: Bytes of text handled at once; a single longer text forms a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes whose prefix sums are held at once while spans are hashed.
+HASH_BYTES = 1 << 18
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,12 +40,41 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        steps = np.full(max(n, HASH_BYTES + 1), base, dtype=np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
     return have[:n]
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over a partition, after which the process holds no freed memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory_low()
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def keep_freed_memory_low() -> None:
+    """Has large arrays mapped one by one (``mallopt``), so that freeing one gives its pages back."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    except (AttributeError, OSError):  # another C library: freed pages return later
+        pass
+
+
+def release() -> None:
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of the public splitmix64 generator: spreads every input bit over 64 bits."""
     x = x.astype(np.uint64, copy=True)
@@ -113,8 +147,6 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.lower = _LOWER[data]
-        self._sums: np.ndarray | None = None
         self._hash: np.ndarray | None = None
 
     @classmethod
@@ -122,12 +154,30 @@ class Words:
         return cls(*text_buffer(column))
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of lower-cased byte spans; equal bytes have equal hashes wherever they stand."""
-        n = len(self.data)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self.lower.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n), out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * _power_table(_BASE_INV, n + 1)[start])
+        """Hash of lower-cased byte spans in ascending order; equal bytes have equal hashes wherever they stand."""
+        out = np.empty(len(start), dtype=np.uint64)
+        at = 0
+        while at < len(start):
+            low = int(start[at])
+            to = max(at + 1, int(np.searchsorted(start, low + HASH_BYTES // 2)))
+            high = int(end[at:to].max())
+            if high - low > HASH_BYTES:  # spans that are long themselves, one by one
+                for i in range(at, to):
+                    out[i] = self._long_span(int(start[i]), int(end[i]))
+            else:
+                sums = np.zeros(high - low + 1, dtype=np.uint64)
+                np.cumsum((_LOWER[self.data[low:high]].astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, high - low), out=sums[1:])
+                out[at:to] = (sums[end[at:to] - low] - sums[start[at:to] - low]) * _power_table(_BASE_INV, high - low + 1)[start[at:to] - low]
+            at = to
+        return mix(out)
+
+    def _long_span(self, start: int, end: int) -> int:
+        total, shift = 0, 1
+        for at in range(start, end, HASH_BYTES):
+            piece = _LOWER[self.data[at : min(end, at + HASH_BYTES)]].astype(np.uint64) + np.uint64(1)
+            total += int((piece * _power_table(_BASE, len(piece))).sum(dtype=np.uint64)) * shift
+            shift = shift * pow(_BASE, len(piece), 1 << 64) % (1 << 64)
+        return total % (1 << 64)
 
     @property
     def hash(self) -> np.ndarray:
