@@ -14,15 +14,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of rows that Spark hands to Python at once, where the session does not say.
+ARROW_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or an own one in local mode where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         folder = tempfile.mkdtemp(prefix="glyphmill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch for Python workers: wide rows else come 10,000 at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, str(64 << 20), "67108864b", "64MB", str((1 << 31) - 1), f"{(1 << 31) - 1}b"):
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns a scan of it.
 
