@@ -3,82 +3,101 @@
 Calls (``conv_id, call_id, position, name, arguments, parents``) meet results
 (``conv_id, call_id, position, content``) in one hash join on both identifiers, so a
 conversation of any length is spread over all tasks. Calls are ordered topologically:
-``level`` is the longest chain of parents. Chains are measured by pointer doubling along
-the first parent (a chain of n calls takes log2 n rounds), then levels are raised along
-any further parents until nothing changes. Arguments are validated against a schema per
-tool and written, with identifier, name and result, as canonical JSON (sorted keys, no
-spaces; ``VARIANT`` keeps number and string types).
+``level`` is the longest chain of parents, found by doubling over all parents at once
+(``levels``), so a chain of n calls takes about log2 n rounds however many parents each has.
+Arguments are validated against a JSON schema per tool (types, required fields, nested
+objects, arrays and enumerations) and written, with identifier, name and result, as
+canonical JSON (sorted keys, no spaces; ``VARIANT`` keeps number and string types).
 
 Defined results: a call without a result has a null result and ``linked`` false; of
 several results of one identifier the first by position, then content, counts; results
 without a call are ignored; calls that share an identifier are one call (the first by
-position); unknown parents are errors (``unknown parent``) and do not count for levels;
-calls on a cycle of parents get level -1 and the error ``cycle``; null or malformed
-arguments fail validation (``not an object``) and are written as null; a tool without a
-schema accepts any object; rows with a null conversation or call identifier are dropped;
-empty tables give empty results.
+position, then by its other fields); unknown parents are errors (``unknown parent``) and
+do not count for levels; calls on or behind a cycle of parents get level -1 and the error
+``cycle``; null or malformed arguments fail validation (``not an object``) and are written
+as null; a tool without a schema accepts any object; rows with a null conversation or call
+identifier are dropped; contents and arguments of any length are carried whole; columns
+beyond those named above are left out, so none can clash; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .support import materialise
 
-#: Type names of a schema and the Variant types that satisfy them.
-_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "DOUBLE", "boolean": "BOOLEAN"}
+#: JSON schema types and the Variant types that satisfy them.
+_TYPES = {"string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "null": r"^VOID$", "object": r"^OBJECT", "array": r"^ARRAY"}
+Schema = dict[str, Any]
+
+
+def _strings(*items: Column) -> Column:
+    return F.array_compact(F.array(*items)).cast("array<string>")
+
+
+def _violations(value: Column, schema: Schema, path: str) -> Column:
+    """Array of what is wrong with a Variant that is there, by a schema of type, enum, properties, required and items."""
+    kind = F.schema_of_variant(value)
+    fits = F.coalesce(kind.rlike(_TYPES[schema["type"]]), F.lit(False)) if "type" in schema else F.lit(True)
+    found = [_strings(F.when(~fits, F.lit(f"{path} is no {schema.get('type')}")))]
+    if "enum" in schema:
+        allowed = [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"]]
+        found.append(_strings(F.when(fits & ~F.to_json(value).isin(*allowed), F.lit(f"{path} is none of its values"))))
+    nothing = F.array().cast("array<string>")
+    for name, inner in sorted(schema.get("properties", {}).items()):
+        field, at = F.try_variant_get(value, f"$['{name}']", "variant"), f"{path}.{name}" if path else name
+        missing = field.isNull() | ((F.schema_of_variant(field) == "VOID") & F.lit(inner.get("type") != "null"))
+        absent = _strings(F.lit(f"missing {at}")) if name in schema.get("required", ()) else nothing
+        found.append(F.when(~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), nothing).when(missing, absent).otherwise(_violations(field, inner, at)))
+    if "items" in schema:
+        each = F.try_variant_get(value, "$", "array<variant>")
+        found.append(F.coalesce(F.array_distinct(F.flatten(F.transform(each, lambda x: _violations(x, schema["items"], f"{path}[]")))), nothing))
+    return F.concat(*found)
 
 
-def validation_errors(arguments: Column, name: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """Array of the errors of a Variant under ``{tool: {field: (type, required)}}``."""
-    kind = F.schema_of_variant(arguments)
-    out = [F.when(arguments.isNull() | ~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.lit("not an object"))]
-    for tool, fields in sorted(schemas.items()):
-        for field, (type_, required) in sorted(fields.items()):
-            value = F.try_variant_get(arguments, f"$.{field}", "variant")
-            found = F.schema_of_variant(value)
-            wanted = found.isin("BIGINT", "DOUBLE") | found.startswith("DECIMAL") if type_ == "number" else found == _TYPES[type_]
-            missing = value.isNull() | (found == "VOID")
-            mine = (name == tool) & arguments.isNotNull()
-            if required:
-                out.append(F.when(mine & missing, F.lit(f"missing {field}")))
-            out.append(F.when(mine & ~missing & ~wanted, F.lit(f"{field} is no {type_}")))
-    return F.array_compact(F.array(*out))
+def validation_errors(arguments: Column, name: Column, schemas: dict[str, Schema]) -> Column:
+    """Array of the errors of a Variant under the schema of its tool."""
+    is_object = F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False))
+    nothing = F.array().cast("array<string>")
+    own = [F.when(is_object & (name == tool), _violations(arguments, schema, "")).otherwise(nothing) for tool, schema in sorted(schemas.items())]
+    return F.concat(_strings(F.when(~is_object, F.lit("not an object"))), *own)
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``node`` and ``level`` for calls (``node``, ``parents``: known parents in order); -1 on and behind cycles."""
-    first = calls.select("node", F.get("parents", F.lit(0)).alias("up"))
-    state = materialise(first.select("node", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level")), "links-levels")
-    total = state.count()
-    steps = 0
-    while (1 << steps) <= max(1, total):
-        moving = state.where("up IS NOT NULL")
-        if moving.isEmpty():
-            break
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        moved = moving.join(above, "up").select("node", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))
-        state = materialise(moved.unionByName(state.where("up IS NULL")), "links-levels")
-        steps += 1
-    state = state.select("node", F.when(F.col("up").isNotNull(), -1).otherwise(F.col("level")).cast("long").alias("level"))
-    more = materialise(calls.where(F.size("parents") > 1).select("node", F.explode("parents").alias("parent")), "links-parents")
-    if more.isEmpty():
-        return state
-    every = materialise(calls.select("node", F.explode("parents").alias("parent")), "links-edges")
-    for _ in range(int(total) + 1):
-        above = state.select(F.col("node").alias("parent"), F.col("level").alias("above"))
-        need = every.join(above, "parent").groupBy("node").agg(F.when(F.min("above") < 0, -1).otherwise(F.max("above") + 1).alias("need"))
-        after = materialise(state.join(need, "node", "left").select("node", F.coalesce("need", "level").cast("long").alias("level"), (F.coalesce("need", "level") != F.col("level")).alias("changed")), "links-levels")
-        if after.where("changed").isEmpty():
-            return after.select("node", "level")
-        if after.agg(F.max("level")).collect()[0][0] > total:
-            return after.select("node", F.when(F.col("level") > total, -1).otherwise(F.col("level")).alias("level"))
-        state = after.select("node", "level")
-    return state
-
-
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """``node`` and ``level`` for calls (``node``, ``group``, ``position``, ``parents``: known ones); -1 on and behind cycles.
+
+    A call's level is the larger of what is ``known`` of it and, over its open edges
+    (parent, weight), of the parent's level plus weight. A round replaces every edge by its
+    parent's edges, so edges span twice as many steps each time. Before that an edge goes
+    if a path over a later parent is as long; that keeps edges as few as the graph is wide.
+    Edges that are left when they span more steps than a group has calls lead to a cycle.
+    """
+    known = calls.select("node", F.lit(0).cast("long").alias("known"))
+    place = calls.select(F.col("node").alias("parent"), F.col("position").alias("at"))
+    edges = calls.select("node", F.explode(F.array_distinct("parents")).alias("parent")).join(place, "parent").select("node", "parent", "at", F.lit(1).cast("long").alias("weight"))
+    edges = materialise(edges, "links-edges")
+    longest = calls.groupBy("group").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).collect()[0][0]
+    span = 1
+    while span <= longest and not edges.isEmpty():
+        below = edges.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("at").alias("next_at"), F.col("weight").alias("more"))
+        if not edges.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            detour = edges.join(below, "parent").where("at > next_at").groupBy("node", F.col("next").alias("parent")).agg(F.max(F.col("weight") + F.col("more")).alias("detour"))
+            edges = materialise(edges.join(detour, ["node", "parent"], "left").where("detour IS NULL OR detour < weight").select("node", "parent", "at", "weight"), "links-edges")
+            below = edges.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("at").alias("next_at"), F.col("weight").alias("more"))
+        reached = edges.join(known.select(F.col("node").alias("parent"), F.col("known").alias("above")), "parent").groupBy("node").agg(F.max(F.col("above") + F.col("weight")).alias("above"))
+        known = materialise(known.join(reached, "node", "left").select("node", F.greatest("known", F.coalesce("above", "known")).alias("known")), "links-known")
+        stepped = edges.join(below, "parent").groupBy("node", F.col("next").alias("parent"), F.col("next_at").alias("at")).agg(F.max(F.col("weight") + F.col("more")).alias("weight"))
+        edges = materialise(stepped, "links-edges")
+        span *= 2
+    caught = edges.select("node").distinct().withColumn("caught", F.lit(True))
+    return known.join(caught, "node", "left").select("node", F.when(F.col("caught"), -1).otherwise(F.col("known")).cast("long").alias("level"))
+
+
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
     """One row per call with its result, level, validation errors and canonical JSON."""
     key = lambda c, i: F.concat_ws("\x1f", F.col(c).cast("string"), F.col(i).cast("string"))
     named = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).withColumn("node", key("conv_id", "call_id"))
@@ -89,7 +108,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
     known = wanted.withColumn("up", key("conv_id", "parent")).join(single.select(F.col("node").alias("up"), F.lit(True).alias("there")), "up", "left")
     parents = known.groupBy("node").agg(F.sort_array(F.collect_list(F.when(F.col("there"), F.struct("nth", "up")))).alias("ups"), F.count_if(F.col("there").isNull()).alias("unknown"))
     single = materialise(single.join(parents, "node", "left").withColumn("ups", F.coalesce(F.col("ups.up"), F.array().cast("array<string>"))).withColumn("unknown", F.coalesce("unknown", F.lit(0))), "links-known")
-    level = levels(single.select("node", F.col("ups").alias("parents")))
+    level = levels(single.select("node", F.col("conv_id").alias("group"), "position", F.col("ups").alias("parents")))
     answers = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy(key("conv_id", "call_id").alias("node")).agg(F.min(F.struct("position", "content")).alias("r"))
     linked = single.join(answers, "node", "left").join(level, "node")
     parsed = F.try_parse_json("arguments")
@@ -102,7 +121,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
 
 
 #: Tools of the conversation table: user turns ask for an answer, system turns set the scene.
-CHAT_TOOLS = {"answer": {"text": ("string", True), "turn": ("integer", True)}, "setting": {"text": ("string", True), "turn": ("integer", False)}}
+CHAT_TOOLS: dict[str, Schema] = {
+    "answer": {"type": "object", "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["text", "turn"]},
+    "setting": {"type": "object", "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["text"]},
+}
 
 
 def op2_tool_links(spark, sf_dir: str) -> DataFrame:
