@@ -5,29 +5,34 @@ node first (a group of exact copies, however large, costs one node). Each node h
 signature of ``TREES`` x ``DEPTH`` min-hashes; tree ``t`` is the order of the nodes by
 the ``t``-th run of ``DEPTH`` values.
 
-* **Candidates.** Nodes with a common prefix of ``MIN_PREFIX`` values in some tree are a
-  region. At Jaccard 0.85 a pair misses every region with probability
-  (1 - 0.85^4)^20 < 4e-7. Within a region of up to ``REGION`` nodes all are compared by
-  their signatures (estimate at least ``ESTIMATE``, five standard deviations below the
-  threshold) and a spanning forest is kept. A larger region is not searched pair by
-  pair or cut: all its nodes become candidates of one another, and the next step
-  handles them exactly.
+* **Candidates.** Nodes whose longest common prefix in some tree has ``MIN_PREFIX`` values
+  or more are neighbours. A region starts as a prefix of ``MIN_PREFIX`` values; while it
+  holds more than ``REGION`` nodes it is parted by one more value, so depth follows
+  density, tree by tree. Inside a region, which is read in the order of its signatures, all
+  nodes are compared by signature (estimate at least ``ESTIMATE``, more than five standard
+  deviations below the threshold) and a spanning forest is kept. A pair at Jaccard 0.85
+  misses all regions with probability (1 - 0.85^4)^32 < 1e-10 where regions are shallow
+  and (1 - 0.85^8)^32 < 4e-5 where every tree is at its full depth.
+* **Dense regions.** More than ``REGION`` nodes that agree in all ``DEPTH`` values of a tree
+  are not searched or cut: they become one cluster, and the next steps handle it exactly.
 * **Clusters.** Connected candidates form clusters; links can exist only within one.
 * **Confirmation.** Clusters are cut into blocks of bounded rows and shingles. A block
   counts the exact intersections of all its pairs (a 0/1 matrix product over the
-  shingles that occur twice) and keeps a spanning forest of the true links. A cluster
-  of one block is finished then. A larger one first runs two independent random
-  blockings, which join its dense parts in linear work; after components are formed,
-  the adaptive step compares the remaining blocks, except those whose members are all
-  in one component already.
+  shingles that occur twice) and keeps a spanning forest of the true links, rooted at
+  the nodes with most links. A cluster of one block is finished then. A larger one goes
+  through two independent random blockings, and a third in which every block also holds
+  the cluster's ``PIVOTS`` busiest roots: both take linear work and join what is dense or
+  hangs on few originals. After components are formed, the adaptive step compares the
+  remaining blocks, except those whose members are all in one component already.
 
 No group is gathered in one task, no pairs are emitted (only forests of at most n - 1
 edges a block), and components are found by distributed joins.
 
 Defined results: null, empty and wordless texts have an empty set, are linked with
 nothing and kept; a row with a null id is linked with nothing, has a null component and
-is kept; rows that share an id are one node; equal texts are always linked; an empty
-table gives an empty result. Ids are longs. Clashing added columns get an underscore.
+is kept; rows that share an id are linked with what any of them is linked with; equal
+texts are always linked; texts of any length are taken whole; an empty table gives an
+empty result. Ids are longs, others count as null. Clashing added columns get an underscore.
 """
 
 from __future__ import annotations
@@ -36,18 +41,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .support import fresh, materialise, small
 from .wordcols import Words, lean, mix, slices
 
-TREES, DEPTH, MIN_PREFIX = 20, 8, 4
+TREES, DEPTH, MIN_PREFIX = 32, 8, 4
 REGION = 256
 ESTIMATE = 0.70
 THRESHOLD_PERCENT = 85
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 112, 400_000
+PIVOTS = 16
 #: Columns of the shingle matrix that are multiplied at once.
 _COLUMNS = 8192
 
@@ -123,11 +129,11 @@ def _bounds(*keys: np.ndarray) -> np.ndarray:
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest (as stars around the first node) of a symmetric boolean matrix."""
+    """Spanning forest of a symmetric boolean matrix, as stars around each part's node of highest degree."""
     n = len(linked)
     todo = np.ones(n, dtype=bool)
     out = []
-    for root in range(n):
+    for root in np.argsort(-linked.sum(axis=1), kind="stable").tolist():
         if not todo[root]:
             continue
         todo[root] = False
@@ -228,7 +234,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
 
 def node_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows of (``doc_id``, ``text``), and the nodes: one ``rep`` per distinct set."""
-    signed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_sign), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "near-signatures")
+    signed = materialise(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(lean(_sign), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "near-signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = materialise(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "near-nodes")
     return signed, reps
@@ -236,62 +242,99 @@ def node_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def candidate_edges(signed: DataFrame, reps: DataFrame) -> DataFrame:
     """Spanning edges of everything that can be linked (see the module's text)."""
-    nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "set_a", "set_b", "sig").join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b", "rep"], "left_semi").select("rep", "sig")
-    nodes = materialise(nodes, "near-node-signatures")
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    keyed = nodes.select("rep", "sig", tree.alias("tree")).select("rep", F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * MIN_PREFIX))).alias("key"))
-    regions = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1"), "near-regions")
-    members = materialise(keyed.join(small(regions, regions.count()), "key"), "near-region-members")
-    searched = members.where(F.col("size") <= REGION).select("key", "rep").join(nodes, "rep").select("key", "rep", "sig")
-    found = searched.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_search_regions), _EDGES)
-    whole = members.where((F.col("size") > REGION) & (F.col("rep") != F.col("hub"))).select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "set_a", "set_b", "sig")
+    nodes = materialise(nodes.join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b", "rep"], "left_semi").select("rep", "sig"), "near-node-signatures")
+    prefix = lambda depth: F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * depth))
+    trees = nodes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    entries = trees.select("rep", "tree", prefix(DEPTH).alias("run"), F.xxhash64("tree", prefix(MIN_PREFIX)).alias("key"))
+    settled, dense = None, None
+    for depth in range(MIN_PREFIX, DEPTH + 1):
+        if depth > MIN_PREFIX:
+            entries = entries.select("rep", "tree", "run", F.xxhash64("tree", F.substring("run", 1, 2 * depth)).alias("key"))
+        regions = materialise(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1"), "near-regions")
+        members = materialise(entries.join(small(regions, regions.count()), "key"), "near-region-members")
+        fits = members.where(F.col("size") <= REGION).select("key", "rep")
+        settled = fits if settled is None else settled.unionByName(fits)
+        dense = members.where(F.col("size") > REGION)
+        if dense.isEmpty():
+            break
+        entries = dense.select("rep", "tree", "run")
+    searched = settled.join(nodes, "rep").select("key", "rep", "sig")
+    found = searched.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(lean(_search_regions), _EDGES)
+    whole = dense.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     return found.unionByName(whole)
 
 
+def _share(rows: str, shingles: str) -> Column:
+    """Blocks that so many rows and shingles fill."""
+    return F.greatest(F.col(rows) / BLOCK_ROWS, F.col(shingles) / BLOCK_SHINGLES)
+
+
 def exact_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
     """Spanning edges of the true links inside ``clusters`` (``node``, ``label``)."""
-    sizes = clusters.join(reps.groupBy("rep").agg(F.max("n").alias("n")), F.col("node") == F.col("rep")).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = materialise(sizes.select("label", F.least(blocks, F.col("rows").cast("int")).alias("blocks")), "near-cluster-sizes")
+    weights = reps.groupBy("rep").agg(F.max("n").alias("n"))
+    sizes = clusters.join(weights, F.col("node") == F.col("rep")).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    blocks = F.least(F.ceil(_share("rows", "shingles")), F.col("rows")).cast("int")
+    sizes = materialise(sizes.select(F.col("label").alias("cluster"), blocks.alias("blocks")), "near-cluster-sizes")
     placed = clusters.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
     texts = docs.join(small(placed, placed.count()), "doc_id").select("doc_id", "cluster", "text")
     sets = materialise(texts.mapInArrow(lean(_spell), "rep long, cluster long, set binary"), "near-sets")
-    n_sizes = sizes.count()
-    sized = sets.join(small(sizes.withColumnRenamed("label", "cluster"), n_sizes), "cluster")
+    sized = sets.join(small(sizes, sizes.count()), "cluster")
     salts = F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    first = sized.select("cluster", "rep", "set", "blocks", F.explode(salts).alias("x")).withColumn("y", F.pmod(F.xxhash64("rep", "x"), F.col("blocks")).cast("int"))
+    place = lambda x: F.pmod(F.xxhash64("rep", x), F.col("blocks")).cast("int")
+    first = sized.select("cluster", "rep", "set", "blocks", F.explode(salts).alias("x")).withColumn("y", place(F.col("x")))
     edges = materialise(_blocked(first), "near-links")
-    large = sizes.where("blocks > 1").select(F.col("label").alias("cluster"), "blocks")
-    n_large = large.count()
-    if not n_large:
+    if sizes.where("blocks > 1").isEmpty():
         return edges
-    labels = connected_components(edges)
-    inside = sized.where("blocks > 1").select("cluster", "rep", "set", "blocks").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    inside = materialise(inside, "near-large-clusters")
-    #: Labels that fill a block get blocks of their own ("pure"); the rest share blocks.
-    counts = inside.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("set") / 8).alias("shingles"))
-    full = F.greatest(F.col("rows") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)
-    pure = counts.where(full >= 0.5).select("cluster", "label", F.ceil(full).cast("int").alias("own"))
-    rest = counts.where(full < 0.5).groupBy("cluster").agg(F.ceil(F.greatest(F.sum("rows") / BLOCK_ROWS, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("shared"))
-    pure, rest = materialise(pure, "near-pure"), materialise(rest, "near-shared")
-    listed = pure.select("cluster", "label", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part")).unionByName(rest.select("cluster", F.lit(None).cast("long").alias("label"), F.explode(F.sequence(F.lit(0), F.col("shared") - 1)).alias("part")))
-    listed = materialise(listed.select("cluster", "label", "part", F.xxhash64("label", "part").alias("block")), "near-blocks")
-    one, two = listed.alias("one"), listed.alias("two")
-    meet = (F.col("one.cluster") == F.col("two.cluster")) & (F.col("one.block") <= F.col("two.block"))
-    apart = F.col("one.label").isNull() | F.col("two.label").isNull() | (F.col("one.label") != F.col("two.label"))
-    tasks = one.join(two, meet & apart).select("one.cluster", F.col("one.block").alias("x"), F.col("two.block").alias("y"))
+    large = materialise(sized.where("blocks > 1"), "near-large-clusters")
+    edges = materialise(edges.unionByName(_pivot_edges(large, edges)), "near-links")
+    return edges.unionByName(_rest_edges(large, connected_components(edges)))
+
+
+def _pivot_edges(large: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links of a random blocking whose blocks all hold the nodes of the cluster that are roots of most links."""
+    roots = edges.groupBy(F.col("u").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
+    busiest = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("links"), "rep"))
+    ranked = large.select("cluster", "rep").join(roots, "rep").withColumn("rank", busiest).where(F.col("rank") <= PIVOTS)
+    pivots = large.join(ranked.select("rep"), "rep", "left_semi")
+    everywhere = pivots.select("cluster", "rep", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    dealt = large.select("cluster", "rep", "set", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int").alias("y"))
+    once = dealt.join(ranked.select("rep"), "rep", "left_anti").select("cluster", "rep", "set", "y")
+    return _blocked(once.unionByName(everywhere).withColumn("x", F.lit(2)))
+
+
+def _rest_edges(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between blocks of ``large`` clusters, but for pairs of blocks inside one component of ``labels``."""
+    inside = large.select("cluster", "rep", "set").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    inside = materialise(inside, "near-large-labelled")
+    #: Labels that fill half a block get blocks of their own ("pure"); the rest share blocks.
+    counts = materialise(inside.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("set") / 8).alias("shingles")), "near-labels-of-clusters")
+    pure = counts.where(_share("rows", "shingles") >= 0.5).select("cluster", "label", F.ceil(_share("rows", "shingles")).cast("int").alias("own"))
+    rest = counts.where(_share("rows", "shingles") < 0.5).groupBy("cluster").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    rest = rest.select("cluster", F.lit(None).cast("long").alias("label"), F.ceil(_share("rows", "shingles")).cast("int").alias("own"))
+    #: Blocks of a cluster are numbered through; there is a row here for half a block of nodes at least.
+    before = F.sum("own").over(Window.partitionBy("cluster").orderBy(F.col("label").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    parts = pure.unionByName(rest).withColumn("from", F.coalesce(before, F.lit(0)).cast("int")).withColumn("total", F.sum("own").over(Window.partitionBy("cluster")).cast("int"))
+    parts = materialise(parts, "near-blocks")
+    numbered = parts.select("cluster", "label", "total", F.explode(F.sequence("from", F.col("from") + F.col("own") - 1)).alias("x"))
+    meets = numbered.select("cluster", "label", "x", F.explode(F.sequence("x", F.col("total") - 1)).alias("y"))
+    other = numbered.select("cluster", F.col("label").alias("other"), F.col("x").alias("y"))
+    tasks = meets.join(other, ["cluster", "y"]).where("label IS NULL OR other IS NULL OR label <> other").select("cluster", "x", "y")
     tasks = materialise(tasks, "near-block-pairs")
+    n_tasks = tasks.count()
     visits = tasks.select("cluster", F.col("x").alias("block"), "x", "y").unionByName(tasks.where("x <> y").select("cluster", F.col("y").alias("block"), "x", "y"))
-    own = inside.join(small(pure, n_large), ["cluster", "label"], "left").join(small(rest, n_large), "cluster", "left")
-    part = F.pmod(F.xxhash64("rep"), F.coalesce("own", "shared", F.lit(1))).cast("int")
-    own = own.select("cluster", "rep", "set", F.xxhash64(F.when(F.col("own").isNotNull(), F.col("label")), part).alias("block"))
-    again = _blocked(own.join(small(visits, tasks.count()), ["cluster", "block"]))
-    return edges.unionByName(again)
+    n_parts = parts.count()
+    own = inside.join(small(parts.where("label IS NOT NULL").select("cluster", "label", "own", "from"), n_parts), ["cluster", "label"], "left")
+    shared = parts.where("label IS NULL").select("cluster", F.col("own").alias("rest_own"), F.col("from").alias("rest_from"))
+    own = own.join(small(shared, n_parts), "cluster", "left")
+    block = F.coalesce("from", "rest_from") + F.pmod(F.xxhash64("rep"), F.coalesce("own", "rest_own")).cast("int")
+    own = own.select("cluster", "rep", "set", block.alias("block"))
+    return _blocked(own.join(small(visits, 2 * n_tasks), ["cluster", "block"]))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed, reps = node_table(texts)
     clusters = connected_components(candidate_edges(signed, reps))
     labels = connected_components(exact_edges(texts, reps, clusters))
