@@ -18,8 +18,9 @@ rules always stay; the classifier decides on every other candidate.
 
 All text work is one narrow scan: matches come from ``split`` and ``regexp_extract_all``
 (gaps and match lengths give code-point positions), behind cheap guards, and nothing is
-shuffled but pattern counts. Patterns use possessive quantifiers and ``\\G`` so that no
-text, however long, is scanned more than linearly.
+shuffled but pattern counts. Patterns use possessive quantifiers and ``\\G``, characters
+are looked up in pieces of ``PIECE``, and running sums and maxima are taken in blocks of
+about sqrt(matches) (``running``), so a text of n matches costs about n * sqrt(n) at most.
 
 Defined results: null and empty texts have no spans (counts 0, SHA-256 of the empty
 text); ``redact`` leaves them as they are; repeated rows are treated alike; an empty
@@ -41,6 +42,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 VOTERS = ("regex", "checksum", "gazetteer", "context", "boundary")
 BASE_KINDS = 4
 ACCEPT = 0.5
+#: Characters of a piece of text in which neighbours of a match are looked up.
+PIECE = 2048
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Matches of these before the base rules drop some, leftmost and non-overlapping.
@@ -93,22 +96,48 @@ def _letting(value: Column, use) -> Column:
     return F.transform(F.array(value), use).getItem(0)
 
 
+def running(items: Column, combine, zero: Column) -> Column:
+    """For each element of an array, ``combine`` over those before it; ``combine`` is associative with ``zero``."""
+
+    def fold(part: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, begin, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def blocked(values: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(values))).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), F.size(values), step), lambda at: F.slice(values, at, step))
+
+        def joined(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda block: F.aggregate(block, zero, combine))
+            return _letting(fold(totals, zero), lambda starts: F.flatten(F.transform(blocks, lambda block, i: fold(block, F.get(starts, i)))))
+
+        return _letting(parts, joined)
+
+    return _letting(items, lambda values: F.when(F.size(values) > 0, blocked(values)).otherwise(F.array().cast("array<int>")))
+
+
+def in_pieces(text: Column) -> Column:
+    """The text cut into pieces of ``PIECE`` characters."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+"), F.lit(0))
+
+
+def cut_out(pieces: Column, start: Column, length: Column) -> Column:
+    """Characters of a text in pieces; costs its length and two pieces, wherever it starts."""
+    first = F.floor(start / PIECE).cast("int")
+    count = F.floor((start + length) / PIECE).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(pieces, first + 1, count), ""), start - first * PIECE + 1, length)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of a pattern's matches, in code points, end exclusive."""
-    both = F.struct(F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    nothing = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    gaps, found = F.transform(F.split(text, pattern, -1), lambda p: F.length(p)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def place(b: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.get(b["gaps"], i)
-            word = F.get(b["found"], i)
-            end = start + F.length(word)
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), word.alias("text")))).alias("out"))
-
-        walk = F.aggregate(F.sequence(F.lit(0), F.size(b["found"]) - 1), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
-        return F.when(F.size(b["found"]) > 0, walk).otherwise(nothing)
+        steps = F.transform(b["found"], lambda w, i: F.get(b["gaps"], i) + F.length(w))
+        spans = lambda before: F.transform(b["found"], lambda w, i: F.struct((F.get(before, i) + F.get(b["gaps"], i)).alias("start"), (F.get(before, i) + F.get(b["gaps"], i) + F.length(w)).alias("end"), w.alias("text")))
+        return _letting(running(steps, lambda a, x: a + x, F.lit(0)), spans)
 
-    return _letting(both, place)
+    return _letting(F.struct(gaps.alias("gaps"), found.alias("found")), place)
 
 
 def _digits(text: Column) -> Column:
@@ -144,10 +173,10 @@ def _vote(condition: Column, otherwise: str = "0") -> Column:
     return F.when(condition, "1").otherwise(otherwise)
 
 
-def _candidate(kind: int, text: Column, m: Column, is_base: bool) -> Column:
+def _candidate(kind: int, pieces: Column, m: Column, is_base: bool) -> Column:
     """One candidate with its votes as a string of ``1``, ``0`` and ``-`` (abstains)."""
-    before = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
-    after = F.substring(text, m["end"] + 1, F.lit(1))
+    before = cut_out(pieces, F.greatest(m["start"] - 24, F.lit(0)), F.least(m["start"], F.lit(24)))
+    after = cut_out(pieces, m["end"], F.lit(1))
     votes = F.concat(
         _vote(m["text"].rlike(_STRICT[kind])),
         _vote(_checksum(kind, m["text"])),
@@ -168,15 +197,35 @@ def candidates(text: Column) -> Column:
     none = F.array().cast(_CANDIDATES)
 
     def found(kind: int, guard: Column, pattern: str, is_base: bool) -> Column:
-        return F.when(guard, F.transform(match_spans(text, pattern), lambda m: _candidate(kind, text, m, is_base))).otherwise(none).cast(_CANDIDATES)
+        spans = match_spans(text, pattern)
+        votes = lambda pieces: F.transform(spans, lambda m: _candidate(kind, pieces, m, is_base))
+        return F.when(guard, _letting(in_pieces(text), votes)).otherwise(none).cast(_CANDIDATES)
 
     def guard(kind: int) -> Column:
         return text.contains(_GUARD[kind]) if len(_GUARD[kind]) == 1 else text.rlike(_GUARD[kind])
 
     broad = F.concat(*[found(k, guard(k), BROAD[k], True) for k in range(BASE_KINDS)])
     extra = F.concat(*[found(k, text.rlike(g), p, False) for k, (g, p) in EXTRA.items()])
-    apart = lambda b: F.filter(extra, lambda e: ~F.exists(b, lambda s: s["base"] & (s["start"] < e["end"]) & (e["start"] < s["end"])))
-    return _letting(broad, lambda b: F.concat(b, apart(b)))
+    return _letting(broad, lambda b: _letting(extra, lambda e: F.when(F.size(e) == 0, b).otherwise(F.concat(b, _apart(e, b)))))
+
+
+def _apart(extra: Column, broad: Column) -> Column:
+    """The extra candidates that overlap no base span, by one sorted pass over both."""
+    event = lambda c: F.struct(c["start"].alias("start"), F.when(c["base"], 0).otherwise(1).alias("late"), c["end"].alias("end"), c.alias("c"))
+    events = F.array_sort(F.transform(F.concat(F.filter(broad, lambda c: c["base"]), extra), event))
+    far = 1 << 30
+
+    def free(v: Column) -> Column:
+        ends = running(F.transform(v, lambda x: F.when(x["late"] == 0, x["end"]).otherwise(0)), lambda a, x: F.greatest(a, x), F.lit(0))
+        starts = F.reverse(running(F.reverse(F.transform(v, lambda x: F.when(x["late"] == 0, x["start"]).otherwise(far))), lambda a, x: F.least(a, x), F.lit(far)))
+
+        def keep(both: Column) -> Column:
+            marked = F.transform(v, lambda x, i: F.struct(x["c"].alias("c"), ((x["late"] == 1) & (F.get(both["ends"], i) <= x["start"]) & (F.get(both["starts"], i) >= x["end"])).alias("free")))
+            return F.transform(F.filter(marked, lambda x: x["free"]), lambda x: x["c"])
+
+        return _letting(F.struct(ends.alias("ends"), starts.alias("starts")), keep)
+
+    return _letting(events, free)
 
 
 def fit(found: Column | DataFrame, column: str = "candidates", rounds: int = 50) -> SpanModel:
@@ -265,21 +314,27 @@ def written(spans_col: Column) -> Column:
 def redacted(text: Column, spans_col: Column) -> Column:
     """The text with each span (overlapping ones together) replaced by its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    ordered = F.array_sort(F.transform(spans_col, lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    ordered = F.array_sort(F.transform(spans_col, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def rewrite(b: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            last = F.get(b["ends"], i)
+            return F.when(s["start"] >= last, F.concat(cut_out(b["pieces"], last, s["start"] - last), F.get(names, s["kind"]))).otherwise("")
+
+        end = F.array_max(F.transform(b["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(b["spans"], piece), ""), cut_out(b["pieces"], end, F.length(text) - end))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def ends(spans: Column) -> Column:
+        return running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    folded = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans_col) > 0, folded).otherwise(text)
+    parts = _letting(ordered, lambda spans: F.struct(spans.alias("spans"), ends(spans).alias("ends"), in_pieces(text).alias("pieces")))
+    return F.when(F.size(spans_col) > 0, _letting(parts, rewrite)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data replaced in its texts and, where there is one, the length column corrected."""
     (name,) = fresh(docs, "candidates")
-    found = docs.withColumn(name, candidates(F.col(text_col)))
+    found = materialise(docs.withColumn(name, candidates(F.col(text_col))), "pii-candidates")
     model = fit(found, name)
     out = found.withColumn(name, spans(F.col(name), model))
     out = out.withColumn(text_col, redacted(F.col(text_col), F.col(name)))
