@@ -3,16 +3,17 @@
 Overlapping heuristic labellers (bad or abstain; the silence of all votes for good) look at shouting, symbol noise,
 repeated words, repeated lines, table-like separators, function words, sentence ends,
 letters, word length and digits. Expectation-maximisation estimates their accuracies
-from a bounded sample of texts without any label; the posterior labels of the sample
-train a linear scorer over hashed features (token shapes, letter runs, line ends), which
-then scores every text from its words alone.
+and dependences from the vote patterns of all texts, without any label. The posterior
+labels train a linear scorer over hashed features (shapes of tokens, their widths,
+repeats of the token before), which then scores every text from its words alone.
 
-The sample is about ``SAMPLE`` documents (hash of the id), of which only votes and
-feature counts reach the driver.
+The corpus counts its vote patterns in one pass (at most 2^11 patterns reach the driver);
+the scorer is fitted on a sample of about ``SAMPLE`` documents (hash of the id).
 
 Defined results: null, empty and wordless texts get no votes and score 0; equal texts
-get equal scores; an empty sample gives a scorer that says 0.5 of every text; empty
-tables give empty results; clashing added columns get a leading underscore.
+get equal scores, so ties and repeated rows do; texts of any length are read whole; an
+empty table gives a scorer that says 0.5 of every text; empty tables give empty results;
+clashing added columns get a leading underscore.
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ from pyspark.sql import types as T
 
 from .spotsigs import ANCHORS
 from .support import fresh
-from .weak_labels import accuracy_beliefs, fit_label_model, fit_linear
+from .weak_labels import fit_label_model, fit_linear
 from .wordcols import LETTER, Words, lean, letters_only, mix, slices, text_buffer
 
 SAMPLE = 8000
 BUCKETS = 1 << 14
+PASSAGE = 200
 KEEP = 0.5
 #: Share of good texts that the label model starts from.
 PRIOR = 0.85
+#: Weight of those beliefs, in shares of the texts.
+TRUST = 0.1
 LABELLERS = ("shouting", "symbols", "stutter", "few_words", "repeated_lines", "separators", "function_words", "sentences", "letters", "word_length", "digits")
 _FUNCTION_WORDS = np.unique(Words.of(pa.array(ANCHORS)).hash)
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -58,9 +62,11 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letters = np.maximum(1, _per_text(LETTER[data], offsets))
     upper = _per_text((data >= 65) & (data <= 90), offsets) / letters
     symbols = _per_text(_SYMBOL[data], offsets) / size
-    pairs = np.lexsort((words.hash, doc))
+    #: Words that are new in their passage of ``PASSAGE`` words: no measure of length.
+    passage = (np.arange(len(doc)) - words.first[doc]) // PASSAGE
+    pairs = np.lexsort((words.hash, passage, doc))
     new = np.ones(len(pairs), dtype=bool)
-    new[1:] = (words.hash[pairs][1:] != words.hash[pairs][:-1]) | (doc[pairs][1:] != doc[pairs][:-1])
+    new[1:] = (words.hash[pairs][1:] != words.hash[pairs][:-1]) | (passage[pairs][1:] != passage[pairs][:-1]) | (doc[pairs][1:] != doc[pairs][:-1])
     distinct = np.bincount(doc[pairs], new, minlength=n) / np.maximum(1, count)
     follows = np.zeros(len(doc), dtype=bool)
     follows[1:] = (words.hash[1:] == words.hash[:-1]) & (doc[1:] == doc[:-1])
@@ -93,7 +99,7 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rule(never, upper > 0.4),
         rule(never, symbols > 0.06),
         rule(never, stutter > 0.15),
-        rule(never, (distinct < 0.25) & (count > 20) & (count < 20_000)),
+        rule(never, (distinct < 0.25) & (count > 20)),
         rule(never, again > 0.3),
         rule(never, alone > 0.2),
         rule(never, (function < 0.08) & (count > 30)),
@@ -145,33 +151,41 @@ class QualityModel:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Estimates labeller accuracies and trains the scorer on a bounded sample of ``docs``."""
-    total = docs.select(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality sample")), F.lit(1_000_000)) / 1e6
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(draw < min(1.0, SAMPLE / max(1, total)))
+def vote_patterns(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Distinct votes of all texts of ``docs`` (patterns x labellers) and the number of texts of each."""
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = text_buffer(part.column(1))
-                said = votes(data, offsets)
-                doc, bucket, share = features(data, offsets)
-                bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, said.size + 1, said.shape[1]), pa.int32()), pa.array(said.astype(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), flat, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(share))], ["id", "votes", "bucket", "share"])
+                said, n = np.unique(_coded(votes(*text_buffer(part.column(0)))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.int64()), pa.array(n, pa.int64())], ["pattern", "n"])
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(count), "pattern long, n long")
+    got = rows.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    pattern = np.array([r["pattern"] for r in got], dtype=np.int64)
+    return _spelled(pattern), np.array([r["n"] for r in got], dtype=float)
 
-    got = sample.mapInArrow(lean(describe), "id long, votes array<int>, bucket array<int>, share array<double>").toPandas().sort_values("id", kind="stable")
-    if not len(got):
+
+def _coded(said: np.ndarray) -> np.ndarray:
+    """Votes as a number: one bit a labeller that says bad."""
+    return (said == 0).astype(np.int64) @ (1 << np.arange(len(LABELLERS)))
+
+
+def _spelled(pattern: np.ndarray) -> np.ndarray:
+    """Votes of a pattern; the silence of all labellers is a last vote, for good."""
+    said = np.where((pattern[:, None] >> np.arange(len(LABELLERS))) & 1, 0, -1)
+    return np.column_stack([said, np.where((said == 0).any(axis=1), -1, 1)])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+    """Estimates labeller accuracies from all texts and trains the scorer on a bounded sample of ``docs``."""
+    said, number = vote_patterns(docs, text_col)
+    if not len(said):
         return QualityModel(np.zeros(BUCKETS), 0.0, {})
-    said = np.stack(got["votes"].to_numpy()).astype(np.int64)
-    rows = [np.asarray(b, dtype=np.int64) for b in got["bucket"]]
-    values = [np.asarray(s, dtype=float) for s in got["share"]]
-    #: The silence of all labellers is a vote for good of its own; single abstentions are no evidence.
-    said = np.column_stack([said, np.where((said == 0).any(axis=1), -1, 1)])
-    believed = accuracy_beliefs(said, PRIOR, 0.9)
-    talk = np.eye(3)[np.where(said < 0, 2, said)].mean(axis=0)
-    #: A labeller that says bad is believed to be right 19 times of 20.
+    total = float(number.sum())
+    talk = np.stack([(number @ (said == v)) / total for v in (0, 1, -1)], axis=1)
+    #: Where the label model starts: a labeller that says bad is right 19 times of 20.
+    believed = np.zeros((said.shape[1], 3, 2))
     for j in range(said.shape[1]):
         bad = np.clip(talk[j, 0] * 0.95 / (1 - PRIOR), 0.02, 0.9)
         slip = np.clip(talk[j, 0] * 0.05 / PRIOR, 1e-3, 0.2)
@@ -179,11 +193,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Qual
         believed[j, :, 1] = slip, 1e-4, 1 - slip
     believed[-1, :, 0] = 1e-4, 0.1, 0.9
     believed[-1, :, 1] = 1e-4, 0.95, 0.05
-    model = fit_label_model(said, PRIOR, believed, strength=0.3 * len(said), prior_weight=0.3 * len(said), apart=(said.shape[1] - 1,))
+    weight = TRUST * total
+    model = fit_label_model(said, PRIOR, believed, strength=weight, prior_weight=weight, apart=(said.shape[1] - 1,), number=number)
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality sample")), F.lit(1_000_000)) / 1e6
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(draw < min(1.0, SAMPLE / total))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = text_buffer(part.column(1))
+                pattern = _coded(votes(data, offsets))
+                doc, bucket, share = features(data, offsets)
+                bounds = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(share))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pattern), *lists], ["id", "pattern", "bucket", "share"])
+
+    got = sample.mapInArrow(lean(describe), "id long, pattern long, bucket array<int>, share array<double>").toPandas().sort_values(["id", "pattern"], kind="stable")
+    rows = [np.asarray(b, dtype=np.int64) for b in got["bucket"]]
+    values = [np.asarray(s, dtype=float) for s in got["share"]]
+    weights, bias = np.zeros(BUCKETS), 0.0
+    if len(rows):
+        target = model.posterior(_spelled(got["pattern"].to_numpy(dtype=np.int64)))
+        weights, bias = fit_linear(rows, values, target, BUCKETS, np.ones(len(rows)), epochs=80, rate=0.5, bias=1.0)
     p = model.posterior(said)
-    weights, bias = fit_linear(rows, values, p, BUCKETS, np.ones(len(rows)), epochs=80, rate=0.5, bias=1.0)
-    spoken = {name: float((p * (said[:, j] == 1) + (1 - p) * (said[:, j] == 0)).sum() / max(1, (said[:, j] >= 0).sum())) for j, name in enumerate(LABELLERS)}
-    return QualityModel(weights, bias, spoken)
+    right = {name: float(((1 - p) * number * (said[:, j] == 0)).sum() / max(1.0, (number * (said[:, j] == 0)).sum())) for j, name in enumerate(LABELLERS)}
+    return QualityModel(weights, bias, right)
 
 
 def score_texts(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:

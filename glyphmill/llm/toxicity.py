@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Lexicon voters are found in labelled texts: features are letter runs and their first
-three to seven characters (fold to lower case over ASCII and Latin-1); those whose
-document counts lean significantly to the toxic label (by likelihood ratio, counted by
+three to seven characters (fold to lower case over ASCII and Latin-1), each in two
+strengths, seen at all and seen twice or more in a text; those whose document counts lean significantly to the toxic label (by likelihood ratio, counted by
 the cluster over the training sample) become voters that say yes or abstain.
 Pattern voters (shouting, exclamation, symbol noise, repetition) say yes, no or abstain.
 A generative label model estimates the voters' accuracies and correlations by
@@ -39,7 +39,9 @@ SAMPLE = 20_000
 #: Features that are looked at in detail, and those of them that vote.
 FEATURES, VOTERS = 3000, 200
 #: Share of toxic documents among those with a feature, below which it does not vote.
-PRECISION = 0.75
+PRECISION = 0.9
+#: Weight of the labelled shares that the label model starts from, in shares of the sample.
+TRUST = 0.1
 PREFIXES = (3, 4, 5, 6, 7)
 
 
@@ -78,32 +80,60 @@ def pattern_votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class ToxicityModel:
+class Lexicon:
+    """Features by sorted hash; ``once`` and ``twice`` are the features for any and for repeated presence, or -1."""
+
     hashes: np.ndarray
+    once: np.ndarray
+    twice: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, times: np.ndarray) -> Lexicon:
+        """Feature ``i`` is the ``i``-th hash, seen ``times[i]`` times."""
+        found, at = np.unique(hashes, return_inverse=True)
+        places = np.full((2, len(found)), -1, dtype=np.int64)
+        places[times - 1, at] = np.arange(len(hashes))
+        return cls(found, places[0], places[1])
+
+    def known(self, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, feature) of the found values, in order of the text."""
+        n = len(self.hashes)
+        docs, features_ = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for doc, value in found:
+            at = np.minimum(np.searchsorted(self.hashes, value), n - 1)
+            hit = self.hashes[at] == value
+            pairs, count = np.unique(doc[hit].astype(np.int64) * n + at[hit], return_counts=True)
+            for which, enough in ((self.once, count >= 1), (self.twice, count >= 2)):
+                feature = which[pairs % n]
+                good = enough & (feature >= 0)
+                docs.append(pairs[good] // n)
+                features_.append(feature[good])
+        docs, features_ = np.concatenate(docs), np.concatenate(features_)
+        order = np.lexsort((features_, docs))
+        return docs[order], features_[order]
+
+
+@dataclass
+class ToxicityModel:
+    lexicon: Lexicon
     weights: np.ndarray
     bias: float
 
+    @classmethod
+    def constant(cls, bias: float) -> ToxicityModel:
+        """Gives every text the same score."""
+        return cls(Lexicon.of(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)), np.zeros(0), bias)
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z = np.full(len(offsets) - 1, self.bias)
-        if len(self.hashes):
-            doc, index = known(features(data, offsets), self.hashes)
-            z += np.bincount(doc, self.weights[index], minlength=len(z))
+        if len(self.weights):
+            doc, feature = self.lexicon.known(features(data, offsets))
+            z += np.bincount(doc, self.weights[feature], minlength=len(z))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def known(found: Iterator[tuple[np.ndarray, np.ndarray]], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, index) of the found values that occur in sorted ``hashes``, in order of the text."""
-    pairs = [np.zeros(0, dtype=np.int64)]
-    for doc, value in found:
-        index = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-        hit = hashes[index] == value
-        pairs.append(np.unique(doc[hit].astype(np.int64) * len(hashes) + index[hit]))
-    every = np.unique(np.concatenate(pairs))
-    return every // len(hashes), every % len(hashes)
-
-
-def independent(rows: list[np.ndarray], toxic: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The first ``VOTERS`` features, best first, that say something new.
+def independent(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The first ``VOTERS`` features, best (lowest) first, that say something new.
 
     A feature does not vote if a chosen one occurs in nine tenths of its documents and is
     about as precise: a longer prefix of a pure prefix, or a word of which that is the only one.
@@ -114,9 +144,10 @@ def independent(rows: list[np.ndarray], toxic: np.ndarray, order: np.ndarray) ->
             having.setdefault(f, set()).add(i)
     precision = {f: float(toxic[list(own)].mean()) for f, own in having.items()}
     chosen: list[int] = []
-    for f in order.tolist():
-        own = having.get(f, set())
-        if own and precision[f] >= PRECISION and len(chosen) < VOTERS and all(len(own & having[c]) < 0.9 * len(own) or precision[c] < precision[f] - 0.05 for c in chosen):
+    for f in sorted(having):
+        own = having[f]
+        new = all(len(own & having[c]) < 0.9 * len(own) or precision[c] < precision[f] - 0.05 for c in chosen)
+        if precision[f] >= PRECISION and len(chosen) < VOTERS and new:
             chosen.append(f)
     return np.array(sorted(chosen), dtype=np.int64)
 
@@ -130,13 +161,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, value in features(data, offsets):
                 order = np.lexsort((doc, value))
                 doc, value = doc[order], value[order]
-                new = np.ones(len(doc), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-                doc, value = doc[new], value[new]
-                names, inverse = np.unique(value, return_inverse=True)
-                yes = np.bincount(inverse, toxic[doc], minlength=len(names)).astype(np.int64)
-                all_ = np.bincount(inverse, minlength=len(names)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(yes), pa.array(all_ - yes)], ["feature", "toxic", "clean"])
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])]))
+                count = np.diff(np.append(first, len(doc)))
+                for times in (1, 2):
+                    own = first[count >= times]
+                    names, inverse = np.unique(value[own], return_inverse=True)
+                    yes = np.bincount(inverse, toxic[doc[own]], minlength=len(names)).astype(np.int64)
+                    every = np.bincount(inverse, minlength=len(names)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(names), times, dtype=np.int32)), pa.array(yes), pa.array(every - yes)], ["feature", "times", "toxic", "clean"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -146,11 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         share = n_toxic / max(1, n_toxic + n_clean)
-        return ToxicityModel(np.zeros(0, dtype=np.uint64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return ToxicityModel.constant(float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity sample")), F.lit(1_000_000)) / 1e6
     chosen = F.broadcast(known_labels.where(draw < min(1.0, SAMPLE / (n_toxic + n_clean))))  # about SAMPLE rows by construction
     sample = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", "toxic"), "toxicity-sample")
-    counts = sample.mapInArrow(lean(_count), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(lean(_count), "feature long, times int, toxic long, clean long").groupBy("feature", "times").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     #: Signed likelihood-ratio statistic of the 2 x 2 table (feature, label).
     drawn = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     a, b, na, nb = F.col("toxic"), F.col("clean"), float(max(1, drawn.get(1, 0))), float(max(1, drawn.get(0, 0)))
@@ -160,19 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     common = materialise(counts.where(a + b >= 4).withColumn("gain", F.round(gain, 6)), "toxicity-counts")
     #: Of so many features, one without meaning passes this with a chance of about e^-3.
     least = float(np.log(max(1, common.count())) + 3)
-    ranked = common.where((a / na > b / nb) & (a * (1 - PRECISION) >= b * PRECISION) & (F.col("gain") > least)).orderBy(F.desc("gain"), "feature").limit(FEATURES).toPandas()
-    ranked["hash"] = ranked["feature"].to_numpy().view(np.uint64)
-    hashes = np.sort(ranked["hash"].to_numpy())
-    rank_of = {h: i for i, h in enumerate(ranked["hash"].tolist())}
-    order = np.argsort([rank_of[h] for h in hashes.tolist()])
-    if not len(hashes):
-        return ToxicityModel(np.zeros(0, dtype=np.uint64), np.zeros(0), -3.0)
+    ranked = common.where((a / na > b / nb) & (a * (1 - PRECISION) >= b * PRECISION) & (F.col("gain") > least)).orderBy(F.desc("gain"), "feature", "times").limit(FEATURES).toPandas()
+    if not len(ranked):
+        return ToxicityModel.constant(-3.0)
+    vocabulary = Lexicon.of(ranked["feature"].to_numpy().view(np.uint64), ranked["times"].to_numpy(dtype=np.int64))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffer(part.column(1))
-                doc, index = known(features(data, offsets), hashes)
+                doc, index = vocabulary.known(features(data, offsets))
                 bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(index, pa.int32()))
                 votes = pattern_votes(data, offsets)
@@ -182,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     described = sample.mapInArrow(lean(describe), "id long, index array<int>, votes array<int>, toxic int").toPandas().sort_values("id", kind="stable")
     rows = [np.asarray(x, dtype=np.int64) for x in described["index"]]
     toxic = described["toxic"].to_numpy()
-    lexicon = independent(rows, toxic, order)
-    place = np.full(len(hashes), -1)
+    lexicon = independent(rows, toxic)
+    place = np.full(len(ranked), -1)
     place[lexicon] = np.arange(len(lexicon))
     votes = np.full((len(rows), len(lexicon) + 5), -1, dtype=np.int64)
     for i, r in enumerate(rows):
@@ -192,11 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     #: The silence of the whole lexicon is a vote of its own; single abstentions are no evidence.
     votes[~(votes[:, : len(lexicon)] == 1).any(axis=1), -1] = 0
     #: What the labels say of each voter is the belief that the label model starts from.
-    label_model = fit_label_model(votes, float(toxic.mean()), labelled_beliefs(votes, toxic), prior_weight=float(len(rows)), strength=0.2 * len(rows), apart=(votes.shape[1] - 1,))
+    label_model = fit_label_model(votes, float(toxic.mean()), labelled_beliefs(votes, toxic), prior_weight=TRUST * len(rows), strength=TRUST * len(rows), apart=(votes.shape[1] - 1,))
     posterior = label_model.posterior(votes)
-    weights, bias = fit_linear(rows, None, posterior, len(hashes), np.ones(len(rows)), epochs=150, decay=1e-6, bias=-2.0)
+    weights, bias = fit_linear(rows, None, posterior, len(ranked), np.ones(len(rows)), epochs=150, decay=1e-6, bias=-2.0)
     weights = np.maximum(weights, 0.0)
-    return ToxicityModel(hashes, weights, bias)
+    return ToxicityModel(vocabulary, weights, bias)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Generative label models and linear scorers for weak supervision (driver side, numpy).
 
-Both work on a bounded sample: a matrix of votes (1 yes, 0 no, -1 abstains) and sparse
-feature lists. Nothing here depends on the corpus size.
+Both work on bounded inputs: a matrix of votes (1 yes, 0 no, -1 abstains), each row with
+the number of texts that voted so, and sparse feature lists.
 """
 
 from __future__ import annotations
@@ -10,21 +10,29 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Conditional mutual information (nats) from which two voters depend on one another.
+LINK = 0.002
+
+
+def _index(votes: np.ndarray) -> np.ndarray:
+    return np.where(votes < 0, 2, votes).astype(np.int64)
+
 
 @dataclass
 class LabelModel:
-    """Class prior, P(vote | class) per voter and vote, and each voter's weight among correlated ones."""
+    """Class prior and P(vote | vote of the parent, class) per voter; ``parent`` is -1 for independent voters."""
 
     prior: float
-    table: np.ndarray  # voters x 3 votes (0, 1, abstain) x 2 classes
-    weight: np.ndarray
+    table: np.ndarray  # voters x 3 votes (0, 1, abstain) x 3 votes of the parent x 2 classes
+    parent: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        index = np.where(votes < 0, 2, votes)
-        logs = np.log(self.table)
-        ratio = logs[..., 1] - logs[..., 0]
+        index = _index(votes)
+        m = index.shape[1]
+        ratio = np.log(self.table[..., 1]) - np.log(self.table[..., 0])
         ratio[:, 2] = 0  # an abstention is no evidence
-        z = np.log(self.prior / (1 - self.prior)) + (self.weight * ratio[np.arange(votes.shape[1]), index]).sum(axis=1)
+        of_parent = np.where(self.parent >= 0, index[:, np.maximum(self.parent, 0)], 0)
+        z = np.log(self.prior / (1 - self.prior)) + ratio[np.arange(m), index, of_parent].sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -57,36 +65,74 @@ def labelled_beliefs(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.clip(out / out.sum(axis=1, keepdims=True), 1e-4, 1)
 
 
-def fit_label_model(votes: np.ndarray, prior: float, believed: np.ndarray, rounds: int = 30, strength: float = 10.0, prior_weight: float = 0.0, apart: tuple[int, ...] = ()) -> LabelModel:
+def dependence_tree(index: np.ndarray, p: np.ndarray, number: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Parent of each voter in the forest of most mutual information given the class; -1 for roots and voters not ``free``."""
+    n, m = index.shape
+    total = float(number.sum())
+    shared = np.zeros((m, m))
+    chosen = [(index == v).astype(np.float32) for v in range(3)]
+    for q in (p * number, (1 - p) * number):
+        mass = max(float(q.sum()), 1e-9)
+        weighted = [c * q[:, None].astype(np.float32) for c in chosen]
+        alone = [w.sum(axis=0).astype(float) / mass for w in weighted]
+        for a in range(3):
+            for b in range(3):
+                both = (weighted[a].T @ chosen[b]).astype(float) / mass
+                apart = alone[a][:, None] * alone[b][None, :]
+                sure = (both > 0) & (apart > 0)
+                shared += mass / total * np.where(sure, both * np.log(np.where(sure, both, 1) / np.where(sure, apart, 1)), 0.0)
+    shared[~free] = shared[:, ~free] = 0
+    np.fill_diagonal(shared, 0)
+    parent = np.full(m, -1)
+    done = np.zeros(m, dtype=bool)
+    for root in np.argsort(-shared.sum(axis=1), kind="stable"):
+        if done[root] or not free[root]:
+            continue
+        done[root] = True
+        best, via = np.where(done, -1.0, shared[root]), np.full(m, root)
+        while best.max() > LINK:
+            new = int(best.argmax())
+            parent[new], done[new] = via[new], True
+            closer = (shared[new] > best) & ~done
+            best, via = np.where(closer, shared[new], best), np.where(closer, new, via)
+            best[done] = -1.0
+    return parent
+
+
+def fit_label_model(votes: np.ndarray, prior: float, believed: np.ndarray, rounds: int = 30, strength: float = 10.0, prior_weight: float = 0.0, apart: tuple[int, ...] = (), number: np.ndarray | None = None) -> LabelModel:
     """Expectation-maximisation for the accuracies and correlations of voters.
 
     ``believed`` (P(vote | class), as ``strength`` pseudo votes) decides which class is
-    which. Correlation: voters that agree beyond what the classes explain share their
-    weight, ``1 / (1 + sum of squared conditional correlations)``, so that near-copies
-    of one voter count about once. Voters ``apart`` (such as the silence of all others,
-    which depends on them by definition) take no part in that.
+    which; ``number`` says how many texts voted as a row does. After some rounds with
+    independent voters the forest of their strongest dependences given the class is
+    found, and each voter's votes are modelled given its parent's: a near-copy of
+    another voter then adds next to nothing. Voters ``apart`` (such as the silence of
+    all others, which depends on them by definition) stay independent.
     """
     n, m = votes.shape
-    onehot = np.eye(3)[np.where(votes < 0, 2, votes)]  # n x m x 3
-    model = LabelModel(float(np.clip(prior, 1e-3, 1 - 1e-3)), np.clip(believed, 1e-4, 1), np.ones(m))
+    number = np.ones(n) if number is None else number.astype(float)
+    index = _index(votes)
+    free = (votes >= 0).any(axis=0)
+    free[list(apart)] = False
+    believed = np.clip(believed, 1e-4, 1)
+    independent = np.repeat(believed[:, :, None, :], 3, axis=2)
+    model = LabelModel(float(np.clip(prior, 1e-3, 1 - 1e-3)), independent, np.full(m, -1))
     for turn in range(rounds):
         p = model.posterior(votes)
-        table = np.empty((m, 3, 2))
+        if turn == 5:
+            model.parent = dependence_tree(index, p, number, free)
+        of_parent = np.where(model.parent >= 0, index[:, np.maximum(model.parent, 0)], 0)
+        cell = ((np.arange(m) * 3 + index) * 3 + of_parent).ravel()
+        table = np.empty((m, 3, 3, 2))
         for y, q in ((1, p), (0, 1 - p)):
-            counts = np.einsum("n,nmv->mv", q, onehot) + strength * believed[:, :, y]
-            table[:, :, y] = counts / counts.sum(axis=1, keepdims=True)
+            counts = np.bincount(cell, np.repeat(q * number, m), minlength=9 * m).reshape(m, 3, 3)
+            #: Beliefs are spread over the parent's votes as often as it votes so.
+            often = counts.sum(axis=1, keepdims=True) / np.maximum(counts.sum(axis=(1, 2), keepdims=True), 1e-9)
+            alone = counts.sum(axis=2, keepdims=True) + strength * believed[:, :, None, y]
+            counts = counts + (strength * often + 1.0) * alone / alone.sum(axis=1, keepdims=True)
+            table[..., y] = counts / counts.sum(axis=1, keepdims=True)
         model.table = np.clip(table, 1e-4, 1)
-        model.prior = float(np.clip((p.sum() + prior_weight * prior) / max(1e-9, n + prior_weight), 1e-3, 1 - 1e-3))
-        if turn in (4, 12):
-            side = (votes == 1).astype(float) - (votes == 0)
-            mean = model.table[:, 1, :] - model.table[:, 0, :]
-            rest = side - (p[:, None] * mean[None, :, 1] + (1 - p)[:, None] * mean[None, :, 0])
-            spread = np.sqrt((rest * rest).mean(axis=0))
-            speaks = (votes >= 0).any(axis=0) & (spread > 1e-6)
-            speaks[list(apart)] = False
-            corr = np.where(speaks[:, None] & speaks[None, :], (rest.T @ rest) / n / np.maximum(spread[:, None] * spread[None, :], 1e-12), 0.0)
-            np.fill_diagonal(corr, 0)
-            model.weight = 1 / (1 + (np.clip(corr, 0, 1) ** 2).sum(axis=1))
+        model.prior = float(np.clip(((p * number).sum() + prior_weight * prior) / max(1e-9, number.sum() + prior_weight), 1e-3, 1 - 1e-3))
     return model
 
 
