@@ -1,13 +1,16 @@
 """SpotSigs document fingerprints.
 
 Words are letter runs in lower case. A spot is an anchor (a common word, and one in
-``EVERY`` of the others, so that lists have spots too) with the chain of the next
-``CHAIN`` content words (words that are not common) after it. A text's fingerprint is the set of its spots' 30-bit
-hashes, written in ascending order as five letters each; the same text always has the
-same fingerprint. Two fingerprints are compared by Jaccard similarity. Before sets are
-intersected they are partitioned by length: a pair in partitions so far apart that the
-bound min / max already falls below the floor cannot reach it and is not intersected
-(``pruned_jaccard``); with floor 0, as in the query, only empty sets are pruned.
+``EVERY`` of the others by hash, so that lists have spots too) with the chain of the next
+``CHAIN`` content words (words that are not common) after it. A fingerprint is the number
+of words and the set of the spots' 30-bit hashes, in ascending order as five letters each.
+Texts of few words have next to no spots; their fingerprints have two more parts, the
+words (below ``SHORT_WORDS``) and the runs of three bytes (below ``TINY_WORDS``).
+
+Two fingerprints are compared by Jaccard similarity, on the parts that the longer of both
+texts has, so a pair is never compared on different kinds of features. Sets are partitioned
+by length first: a pair whose partitions or sizes show that it cannot reach ``FLOOR`` is
+not intersected and has likeness 0; every other likeness is exact.
 
 ``edit_likeness`` compares each text with an edited copy (its end replaced by the start
 of the next document in id order) and with the next document. Documents are range-
@@ -17,22 +20,25 @@ is needed and each text moves once.
 
 Defined results: null texts are empty; texts without words have an empty fingerprint,
 and two empty fingerprints have likeness 1; a text with words but no spot (no anchor, or
-nothing after it) uses every word as an anchor; texts of few words, which have next to no
-spots, add their words (below 40) and their runs of three bytes (below 8); rows of one id follow one another in
-text order; null ids come first; an only document is its own next one; empty tables give
-empty results.
+nothing after it) uses every word as an anchor; rows of one id follow one another in text
+order; null ids come first; an only document is its own next one; texts of any length are
+taken whole; empty tables give empty results; only the id and the text of a table are
+read by ``edit_likeness``, and ``fingerprint`` gives a clashing column an underscore.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .support import fresh
 from .wordcols import SEPARATOR, Words, distinct, lean, letters_only, mix, slices, text_buffer
 
 CHAIN = 2
@@ -50,6 +56,8 @@ ANCHORS = (
     "el los las y del al con su para una por lo como más o esta son entre"
 ).split()
 _BITS = 30
+#: Likeness below which sizes alone may settle a pair.
+FLOOR = 0.1
 _LETTERS = np.frombuffer(b"+0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz~", dtype=np.uint8)
 
 
@@ -61,8 +69,8 @@ def _anchor_hashes() -> np.ndarray:
 _ANCHORS = _anchor_hashes()
 
 
-def spot_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct spot hashes of each text, and their offsets."""
+def spot_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct spot hashes of each text (words follow from 2^30, runs from 2^31), their offsets, and numbers of words."""
     words = Words(letters_only(data), offsets)
     n = len(offsets) - 1
     doc, hashes = words.doc, words.hash
@@ -91,28 +99,59 @@ def spot_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         order = np.argsort(owner, kind="stable")
         value, owner = value[order], owner[order]
     #: Few spots say little: short texts add their words, the shortest their runs of three bytes.
+    short = lambda x: x >> np.uint64(64 - _BITS)
     counts = np.diff(words.first)
     at = np.flatnonzero((counts < SHORT_WORDS)[doc])
-    value, owner = [value, mix(hashes[at] + np.uint64(7))], [owner, doc[at]]
+    value, owner = [short(value), short(mix(hashes[at] + np.uint64(7))) + np.uint64(1 << _BITS)], [owner, doc[at]]
     for i in np.flatnonzero((counts < TINY_WORDS) & (np.diff(offsets) > 0)):
         raw = np.concatenate([data[offsets[i] : offsets[i + 1]], np.zeros(2, dtype=np.uint8)]).astype(np.uint64)
         if (~SEPARATOR[raw[:-2].astype(np.int64)]).any():
             runs = (raw[:-2] << np.uint64(16)) + (raw[1:-1] << np.uint64(8)) + raw[2:]
-            value.append(mix(runs + np.uint64(3 << 32)))
+            value.append(short(mix(runs + np.uint64(3 << 32))) + np.uint64(2 << _BITS))
             owner.append(np.full(len(runs), i))
     value, owner = np.concatenate(value), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     value, owner = value[order], owner[order]
     bounds = np.searchsorted(owner, np.arange(n + 1))
-    return distinct(value >> np.uint64(64 - _BITS), bounds)
+    return *distinct(value, bounds), counts
+
+
+@dataclass
+class Print:
+    """A fingerprint: number of words, and the sorted set."""
+
+    words: int
+    values: np.ndarray
+
+    def part(self, kinds: int) -> np.ndarray:
+        """Spots, and with more kinds words and runs."""
+        return self.values[: np.searchsorted(self.values, np.uint64(kinds << _BITS))]
 
+    def __str__(self) -> str:
+        """The parts after the number of words, five letters a number; empty without features."""
+        if not len(self.values):
+            return ""
+        cuts = np.searchsorted(self.values, np.array([k << _BITS for k in range(4)], dtype=np.uint64))
+        return ".".join([str(self.words), *(_letters(self.values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))])
 
-def written(values: np.ndarray) -> str:
-    """A sorted set of 30-bit numbers as text: five letters each, in the order of the numbers."""
+
+def prints(data: np.ndarray, offsets: np.ndarray) -> list[Print]:
+    values, bounds, words = spot_sets(data, offsets)
+    return [Print(int(words[i]), values[bounds[i] : bounds[i + 1]]) for i in range(len(words))]
+
+
+def _letters(values: np.ndarray) -> str:
     parts = np.stack([(values >> np.uint64(s)) & np.uint64(63) for s in (24, 18, 12, 6, 0)], axis=1)
     return _LETTERS[parts.ravel().astype(np.int64)].tobytes().decode("ascii")
 
 
+def likeness(a: Print, b: Print, floor: float = FLOOR) -> float:
+    """Pruned Jaccard similarity of the parts that the longer text has."""
+    longer = max(a.words, b.words)
+    kinds = 1 if longer >= SHORT_WORDS else 2 if longer >= TINY_WORDS else 3
+    return pruned_jaccard(a.part(kinds), b.part(kinds), floor)
+
+
 def length_partition(size: int, floor: float) -> int:
     """Partition of a set size such that sets of partitions two or more apart cannot have Jaccard ``floor``."""
     return int(np.log(max(1, size)) / -np.log(floor)) if 0 < floor < 1 else 0
@@ -132,13 +171,12 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
 
 def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of each text."""
-    from pyspark.sql import types as T
+    (name,) = fresh(docs, name)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                sets, bounds = spot_sets(*text_buffer(part.column(part.schema.get_field_index(text_col))))
-                made = [written(sets[bounds[i] : bounds[i + 1]]) for i in range(part.num_rows)]
+                made = [str(x) for x in prints(*text_buffer(part.column(part.schema.get_field_index(text_col))))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=[*part.schema.names, name])
 
     return docs.mapInArrow(lean(add), T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
@@ -148,21 +186,20 @@ _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 _RESULT_NAMES = [f.split()[0] for f in _RESULT.split(", ")]
 
 
-def _compare(ids: list, texts: list[str], sets: list[np.ndarray], nexts: list[str], next_sets: list[np.ndarray]) -> list[pa.Array]:
+def _compare(ids: list, texts: list[str], own: list[Print], nexts: list[str], following: list[Print]) -> list[pa.Array]:
     edited = []
-    for text, following in zip(texts, nexts, strict=True):
+    for text, after in zip(texts, nexts, strict=True):
         cut = len(text) // 4
-        edited.append(text[: len(text) - cut] + following[:cut])
-    values, bounds = spot_sets(*text_buffer(pa.array(edited, pa.string())))
-    edited_sets = [values[bounds[i] : bounds[i + 1]] for i in range(len(edited))]
+        edited.append(text[: len(text) - cut] + after[:cut])
+    edits = prints(*text_buffer(pa.array(edited, pa.string())))
     return [
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-        pa.array([written(s) for s in sets], pa.string()),
-        pa.array([written(s) for s in edited_sets], pa.string()),
-        pa.array([pruned_jaccard(a, b) for a, b in zip(sets, edited_sets, strict=True)], pa.float64()),
-        pa.array([pruned_jaccard(a, b) for a, b in zip(sets, next_sets, strict=True)], pa.float64()),
+        pa.array([str(x) for x in own], pa.string()),
+        pa.array([str(x) for x in edits], pa.string()),
+        pa.array([likeness(a, b) for a, b in zip(own, edits, strict=True)], pa.float64()),
+        pa.array([likeness(a, b) for a, b in zip(own, following, strict=True)], pa.float64()),
     ]
 
 
@@ -191,8 +228,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "text"):
             column = piece.column(1).fill_null("")
-            values, bounds = spot_sets(*text_buffer(column))
-            rows = list(zip(piece.column(0).to_pylist(), column.to_pylist(), [values[bounds[i] : bounds[i + 1]] for i in range(piece.num_rows)], piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True))
+            rows = list(zip(piece.column(0).to_pylist(), column.to_pylist(), prints(*text_buffer(column)), piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True))
             if held is not None:
                 rows.insert(0, held)
             held = rows[-1]
