@@ -17,10 +17,13 @@ and only (document, item) candidates move. Verification reads the shingles of
 candidate documents only.
 
 Defined results: null or wordless texts and items have no shingles and no links; a
-text or item of one to four words has its whole sequence as its only shingle; rows of
-one id are one document (its shingles are the union over its rows); null ids get no
-link, but ``decontaminate`` keeps their rows if they contain nothing; empty tables give
-empty results; equal items each get their links. Only A-Z is lower-cased.
+text or item of one to four words has its whole sequence as its only shingle; where items
+of so few words occur, every document also has its runs of as many words, so that such
+items are found inside long documents; rows of one id are one document (its shingles are
+the union over its rows); null ids get no link, but ``decontaminate`` keeps their rows if
+they contain nothing; texts of any length are searched whole; empty tables give empty
+results; equal items each get their links; other columns may have any names. Only A-Z is
+lower-cased.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import WORD, materialise, small, table
+from .support import fresh, materialise, small, table
 
 THRESHOLD_PERCENT = 80
 SHINGLE_WORDS = 5
@@ -52,8 +55,14 @@ def shingle_texts(words: Column) -> Column:
     return _shingles(words, lambda i: F.array_join(F.slice(words, i, SHINGLE_WORDS), " "))
 
 
-def shingle_hashes(words: Column) -> Column:
-    return F.transform(shingle_texts(words), lambda s: F.xxhash64(s))
+def document_shingles(words: Column, sizes: list[int]) -> Column:
+    """A document's shingles, and its runs of as many words as ``sizes`` (below five) say."""
+
+    def runs(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (k - 1))
+        return F.when(F.size(words) >= k, F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(shingle_texts(words).cast("array<string>"), *[runs(k) for k in sizes])
 
 
 def item_table(items: DataFrame, item_id: str, text_col: str, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -70,15 +79,19 @@ def item_table(items: DataFrame, item_id: str, text_col: str, percent: int = THR
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """Links (``doc_id``, ``item_id``, ``n_common``, ``n_shingles``, ``containment``) at or above the threshold."""
     item_sets = materialise(item_table(items, item_id, item_text, percent), "decontamination-items")
+    about = item_sets.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") < F.col("k")).alias("sketched"), F.coalesce(F.sum(F.octet_length("shingle")), F.lit(0)).alias("bytes"))
+    about = about.collect()[0]
+    n_words = F.size(words_of(F.col(item_text)))
+    sizes = [r[0] for r in items.where(n_words.between(1, SHINGLE_WORDS - 1)).select(n_words.alias("n")).distinct().collect()]
     sketches = item_sets.where(F.col("at") < F.col("k")).select("hash", "item_id")
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words")).where(F.col("doc_id").isNotNull())
-    hashed = texts.select("doc_id", F.explode(shingle_hashes(F.col("words"))).alias("hash"))
-    n_sketch = sketches.count()
-    candidates = materialise(hashed.join(small(sketches, n_sketch, SKETCH_ROWS), "hash").select("doc_id", "item_id").distinct(), "decontamination-candidates")
-    n_candidates, n_items = candidates.count(), item_sets.count()
-    wanted = candidates.select("doc_id").distinct()
-    spelled = texts.join(small(wanted, n_candidates), "doc_id", "left_semi").select("doc_id", F.explode(shingle_texts(F.col("words"))).alias("shingle"))
-    shared = spelled.join(small(item_sets.select("shingle", "item_id", "n_shingles"), n_items, SKETCH_ROWS), "shingle").distinct()
+    shingles = lambda rows: rows.select("doc_id", F.explode(document_shingles(F.col("words"), sorted(sizes))).alias("shingle"))
+    hashed = shingles(texts).select("doc_id", F.xxhash64("shingle").alias("hash"))
+    met = hashed.join(small(sketches, about["sketched"], SKETCH_ROWS), "hash").select("doc_id", "item_id").distinct()
+    candidates = materialise(met, "decontamination-candidates")
+    spelled = shingles(texts.join(small(candidates.select("doc_id").distinct(), candidates.count()), "doc_id", "left_semi"))
+    wanted = item_sets.select("shingle", "item_id", "n_shingles")
+    shared = spelled.join(small(wanted, about["n"] + about["bytes"] // 64, SKETCH_ROWS), "shingle").distinct()
     counts = shared.groupBy("doc_id", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_common"))
     links = counts.where(F.col("n_common") * 100 >= F.col("n_shingles") * percent).join(candidates, ["doc_id", "item_id"], "left_semi")
     return links.select("doc_id", "item_id", "n_common", "n_shingles", (F.col("n_common") / F.col("n_shingles")).alias("containment"))
@@ -91,24 +104,30 @@ def decontaminate(docs: DataFrame, items: DataFrame, **columns: str) -> DataFram
     """
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    keyed = docs.withColumn("_decontamination_name", name)
-    links = contained_items(keyed, items, **(columns | {"id_col": "_decontamination_name"}))
-    leaked = materialise(links.select(F.col("doc_id").alias("_decontamination_name")).distinct(), "decontamination-leaked")
-    return keyed.join(small(leaked, leaked.count()), "_decontamination_name", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (key,) = fresh(docs, "decontamination_name")
+    keyed = docs.withColumn(key, name)
+    links = contained_items(keyed, items, **(columns | {"id_col": key}))
+    leaked = materialise(links.select(F.col("doc_id").alias(key)).distinct(), "decontamination-leaked")
+    return keyed.join(small(leaked, leaked.count()), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+_SQL_WORDS = r"""
+SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}
+"""
 _SQL_SHINGLES = r"""
 SELECT DISTINCT id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
-FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i
-      FROM (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}))
+FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM {words})
 """
 OP6_SQL = f"""
-WITH d AS ({_SQL_SHINGLES.format(id="doc_id", table="documents")}),
-b AS ({_SQL_SHINGLES.format(id="item_id", table="benchmark")}),
+WITH dw AS ({_SQL_WORDS.format(id="doc_id", table="documents")}), bw AS ({_SQL_WORDS.format(id="item_id", table="benchmark")}),
+k AS (SELECT DISTINCT len(w) AS k FROM bw WHERE len(w) BETWEEN 1 AND 4),
+d AS (SELECT id, shingle FROM ({_SQL_SHINGLES.format(words="dw")})
+      UNION SELECT id, array_to_string(list_slice(w, i, i + k - 1), ' ') FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw JOIN k ON len(w) >= k)),
+b AS ({_SQL_SHINGLES.format(words="bw")}),
 n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_common, n.n_shingles, CAST(count(*) AS DOUBLE) / CAST(n.n_shingles AS DOUBLE) AS containment
 FROM d JOIN b ON d.shingle = b.shingle JOIN n ON n.id = b.id

@@ -14,7 +14,8 @@ are never shuffled: the last pass compares each row's hash with its source's cut
 Defined results: null text has size 0; a source without words has target 0 and takes
 nothing; rows that share an id share a hash and, at the cut, share the rest in
 proportion (rounded down); null ids and null sources are ordinary values; an empty
-table gives an empty result. Added columns that clash get a leading underscore.
+table gives an empty result; texts of any length are counted whole. Added columns that
+clash get a leading underscore; helper columns never clash.
 """
 
 from __future__ import annotations
@@ -44,12 +45,14 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
     """
     by_source = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
-    ranked = totals.withColumn("rank", F.row_number().over(by_source)).withColumn("weight", F.element_at(cycle, ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long"))
+    turn = ((F.col("rank") - 1) % len(weights) + 1).cast("int")
+    ranked = totals.withColumn("rank", F.row_number().over(by_source)).withColumn("weight", F.element_at(cycle, turn).cast("long"))
     ranked = ranked.withColumn("most", F.col("source_size") * cap)
     fill = Window.orderBy((F.col("most") / F.col("weight")).asc(), F.col("rank").asc())
     everything = Window.partitionBy()
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    share = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    left = lambda whole, gone: F.sum(whole).over(everything) - F.coalesce(F.sum(gone).over(before), F.lit(0))
+    share = left("source_size", "most") / left("weight", "weight")
     level = ranked.withColumn("share", share).withColumn("step", F.row_number().over(fill))
     is_open = F.col("most") > F.col("weight") * F.col("share")
     level = level.withColumn("level", F.min_by(F.when(is_open, F.col("share")), F.when(is_open, F.col("step"))).over(everything))
@@ -59,8 +62,10 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """Returns every row of ``docs`` with ``size``, ``source_size``, ``target`` and ``taken``."""
-    sized = materialise(docs.select(F.col(source_col).alias("source"), hash_key(F.col(id_col)).alias("key"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    targets = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, cap), "mix-targets")
+    sized = docs.select(F.col(source_col).alias("source"), hash_key(F.col(id_col)).alias("key"), word_count(F.col(text_col)).alias("size"))
+    sized = materialise(sized, "mix-sizes")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    targets = materialise(source_targets(totals, weights, cap), "mix-targets")
     n_sources = targets.count()
     budget = F.round("target").cast("long")
     has = F.col("source_size") > 0
@@ -78,15 +83,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cuts = cuts.select("rank", F.col("key").alias("cut_key"), (F.col("rest") - F.col("first")).alias("cut_rest"), F.col("words").alias("cut_words"))
     plan = materialise(targets.join(cuts, "rank", "left"), "mix-plan")
 
-    size, source_size, target, taken = fresh(docs, "size", "source_size", "target", "taken")
-    out = docs.withColumn(size, word_count(F.col(text_col))).join(
-        small(plan.select(F.col("source").alias("_of"), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("epochs").alias("_epochs"), F.col("cut_key").alias("_cut"), F.col("cut_rest").alias("_cut_rest"), F.col("cut_words").alias("_cut_words")), n_sources),
-        F.col(source_col).eqNullSafe(F.col("_of")),
-        "left",
-    )
+    size, source_size, target, taken, of, epochs, cut, cut_rest, cut_words = fresh(docs, "size", "source_size", "target", "taken", "mix_of", "mix_epochs", "mix_cut", "mix_rest", "mix_words")
+    named = {"source": of, "source_size": source_size, "target": target, "epochs": epochs, "cut_key": cut, "cut_rest": cut_rest, "cut_words": cut_words}
+    mine = small(plan.select(*[F.col(a).alias(b) for a, b in named.items()]), n_sources)
+    out = docs.withColumn(size, word_count(F.col(text_col))).join(mine, F.col(source_col).eqNullSafe(F.col(of)), "left")
     key = hash_key(F.col(id_col))
-    share = F.when(F.col("_cut").isNull() | (key > F.col("_cut")), 0).when(key < F.col("_cut"), F.col(size)).otherwise(F.floor(F.col(size) * F.col("_cut_rest") / F.col("_cut_words")))
-    out = out.withColumn(taken, (F.col("_epochs") * F.col(size) + share).cast("long"))
+    at_cut = F.floor(F.col(size) * F.col(cut_rest) / F.col(cut_words))
+    share = F.when(F.col(cut).isNull() | (key > F.col(cut)), 0).when(key < F.col(cut), F.col(size)).otherwise(at_cut)
+    out = out.withColumn(taken, (F.col(epochs) * F.col(size) + share).cast("long"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], size, source_size, target, taken)
 
 
