@@ -20,6 +20,7 @@ class SearchConfig:
     neighbor_hops: int = 2
     breadcrumb_limit: int = 3
     import_files: int = 3
+    callsite_chunks: int = 2
     max_segments: int = 3
     max_chars: int = 48000
     ratio: float = 0.5
@@ -32,9 +33,10 @@ class SearchConfig:
 #: Least and most of each setting that can be overridden.
 BOUNDS = {
     "vector_top_k": (1, 200), "vector_top_m": (1, 200), "lexical_total": (1, 200), "rrf_k0": (1, 200), "w_vec": (0.0, 1.0), "w_lex": (0.0, 1.0), "fused_top_m": (1, 200),
-    "rerank_top_n": (1, 50), "max_rerank_chars": (200, 4000), "neighbor_hops": (0, 5), "breadcrumb_limit": (0, 10), "import_files": (0, 10), "max_segments": (1, 10),
+    "rerank_top_n": (1, 50), "max_rerank_chars": (200, 4000), "neighbor_hops": (0, 5), "breadcrumb_limit": (0, 10), "import_files": (0, 10), "callsite_chunks": (0, 10), "max_segments": (1, 10),
     "max_chars": (4000, 200000), "ratio": (0.0, 1.0), "delta": (0.0, 1.0), "floor": (0.0, 1.0), "min_k": (1, 10), "max_k": (1, 15),
 }
+#: Presets of the retrieval modes.
 MODES = {
     "quick": {"vector_top_k": 40, "vector_top_m": 30, "lexical_total": 20, "fused_top_m": 30, "rerank_top_n": 5, "max_k": 5, "import_files": 0},
     "balanced": {},

@@ -10,7 +10,9 @@ from collections import OrderedDict
 #: Characters that the search syntax reserves, and its keywords.
 _RESERVED = re.compile(r"[():\"*^./\\@#$%&=+\[\]{}<>|~`!?,;]")
 _KEYWORDS = re.compile(r"\b(?:AND|OR|NOT|NEAR)\b", re.I)
-_CLAUSE = re.compile(r"\b(?:and|or|with|plus|then|after|before)\b|[,;，；]", re.I)
+#: Connectives that part clauses. Boundaries are ASCII ones: the last four part next to Latin letters only.
+_CONNECTIVES = "and or with plus then after before 与 和 以及 然后".split()
+_CLAUSE = re.compile(rf"(?a:\b)(?:{'|'.join(_CONNECTIVES)})(?a:\b)|[,;，；]", re.I)
 _CJK = re.compile(r"[㐀-鿿]+")
 
 

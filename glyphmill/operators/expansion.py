@@ -64,6 +64,32 @@ def chunks_of_files(files: DataFrame, read: DataFrame, tokens: list[str], most:
     return kept.select("query_id", "path", "chunk_index", "score")
 
 
+#: Words that stand before a name in the last part of a breadcrumb.
+_LABELS, _EVERY_LABEL = r"^(?:async\s+)?(?:class|function|method|const|let|var)\s+", r"^.*\s"
+
+
+def called_names(seeds: DataFrame, every_label: bool = False) -> list[str]:
+    """Names that seeds (with ``breadcrumb``) declare, for a search of their calls; ``every_label`` knows ``fn``, ``def`` and others too."""
+    tail = F.element_at(F.split("breadcrumb", " > "), -1)
+    name = F.trim(F.regexp_replace(tail, _EVERY_LABEL if every_label else _LABELS, ""))
+    rows = seeds.select(name.alias("name")).where(F.col("name").rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$")).distinct().orderBy("name")
+    return [r["name"] for r in rows.collect()]
+
+
+def call_sites(seeds: DataFrame, hits: list[DataFrame], per_seed: int = 2, decay: float = 0.5) -> DataFrame:
+    """Chunks that call what seeds declare (J12, E5): lexical ``hits`` of each name, de-duplicated and capped in total."""
+    about = seeds.groupBy("query_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"))
+    every = None
+    for i, found in enumerate(hits):
+        part = found.select("path", "chunk_index", F.struct(F.lit(i).alias("name"), (-F.col("score")).alias("low")).alias("place"))
+        every = part if every is None else every.unionByName(part)
+    single = every.groupBy("path", "chunk_index").agg(F.min("place").alias("place"))
+    met = single.join(F.broadcast(about)).join(seeds.select("query_id", "path", "chunk_index"), ["query_id", "path", "chunk_index"], "left_anti")  # one row a query
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "path", "chunk_index"))
+    kept = met.withColumn("nth", nth).where(F.col("nth") <= per_seed * F.col("n"))
+    return kept.select("query_id", "path", "chunk_index", (F.col("best") * decay).alias("score"))
+
+
 def first_stage_wins(stages: list[DataFrame], keys: list[str]) -> DataFrame:
     """Union in stage order; the first stage that has a key keeps it (U4)."""
     every = None

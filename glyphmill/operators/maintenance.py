@@ -15,7 +15,7 @@ STATUSES = ("pending", "ready", "failed")
 
 def skip_reason(path: Column, size: Column, content: Column, limit: int = SIZE_LIMIT) -> Column:
     """Why a file is not indexed (size, binary, lock file), or null."""
-    lock = path.rlike(r"(?:^|/)(?:[^/]*-lock|composer|[^/]*\.lock)\.json$") | path.contains("node_modules/") & path.endswith(".json")
+    lock = path.endswith(".json") & (path.endswith("-lock.json") | path.contains("node_modules/"))
     return F.when(size > limit, "large").when(F.instr(content, "\0") > 0, "binary").when(lock, "lock")
 
 
@@ -43,6 +43,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | No
     return rest.unionByName(new.select(*old.columns))
 
 
+def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Chunk vectors of the paths in ``new`` are replaced; a chunk_id that occurs twice is kept once (K6)."""
+    return replace_groups(old, new.dropDuplicates(["chunk_id"]), ["path"])
+
+
 def replace_groups(old: DataFrame, new: DataFrame, group: list[str]) -> DataFrame:
     """All rows of the groups that occur in ``new`` are replaced; an empty ``new`` changes nothing (K5, K6, K8)."""
     return old.join(new.select(*group).distinct(), group, "left_anti").unionByName(new.select(*old.columns))
@@ -106,6 +111,42 @@ def status_counts(manifest: DataFrame) -> DataFrame:
     return every.join(manifest.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def touch(files: DataFrame, times: DataFrame) -> DataFrame:
+    """``files`` with the times of ``times`` (path, mtime); other rows keep theirs (K2)."""
+    new = times.select("path", F.col("mtime").alias("_mtime"))
+    return files.join(new, "path", "left").withColumn("mtime", F.coalesce("_mtime", "mtime")).select(*files.columns)
+
+
+def forget_vectors(files: DataFrame, manifest: DataFrame, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files without a vector hash and their manifest rows as pending, for ``paths`` or for all."""
+    if paths is None:
+        return files.withColumn("vector_index_hash", F.lit(None).cast("string")), manifest.withColumn("status", F.lit("pending"))
+    mark = paths.select("path").distinct().withColumn("_mark", F.lit(True))
+    files = files.join(mark, "path", "left").withColumn("vector_index_hash", F.when(F.col("_mark").isNull(), F.col("vector_index_hash"))).drop("_mark")
+    manifest = manifest.join(mark, "path", "left").withColumn("status", F.when(F.col("_mark"), "pending").otherwise(F.col("status"))).drop("_mark")
+    return files, manifest
+
+
+def self_heal(status: DataFrame, waiting: DataFrame) -> DataFrame:
+    """Unchanged paths whose vectors are not ready (J15): they are indexed again."""
+    return status.where("status = 'unchanged'").select("path").join(waiting.select("path"), "path", "left_semi")
+
+
+def scan_counts(status: DataFrame) -> DataFrame:
+    """One row: total and paths by status (A4)."""
+    names = ("added", "modified", "unchanged", "skipped", "deleted")
+    return status.agg(F.count_if(F.col("status") != "deleted").alias("total"), *[F.count_if(F.col("status") == n).alias(n) for n in names])
+
+
+def kv_set(kv: DataFrame, new: DataFrame) -> DataFrame:
+    """Key-value rows after setting ``new`` ones."""
+    return upsert(kv, new, ["key"])
+
+
+def kv_with_prefix(kv: DataFrame, prefix: str) -> DataFrame:
+    return kv.where(F.col("key").startswith(prefix)).orderBy("key")
+
+
 def counters(events: DataFrame) -> DataFrame:
     """Counter values from appended increments; fractions are truncated."""
     return events.groupBy("key").agg(F.sum(F.col("delta").cast("long")).alias("value"))

@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap_score, quote
+from ..sources.scratch import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+def _overlaps_itself(phrase: str) -> bool:
+    return any(phrase.startswith(phrase[i:]) for i in range(1, len(phrase)))
+
+
 def term_frequency(columns: list[Column], phrase: str) -> Column:
-    """Overlapping, case-insensitive occurrences of a phrase in all indexed columns."""
-    return sum((F.regexp_count(F.lower(c), F.lit(f"(?={quote(phrase.lower())})")) for c in columns), F.lit(0))
+    """Overlapping, case-insensitive occurrences of a phrase in all indexed columns.
+
+    A phrase that cannot overlap itself is counted by what its removal takes away, which
+    needs no regular expression.
+    """
+    low = phrase.lower()
+    if _overlaps_itself(low):
+        return sum((F.regexp_count(F.lower(c), F.lit(f"(?={quote(low)})")) for c in columns), F.lit(0))
+    return sum((((F.length(F.lower(c)) - F.length(F.replace(F.lower(c), F.lit(low)))) / len(low)).cast("int") for c in columns), F.lit(0))
 
 
 def trigram_length(columns: list[Column]) -> Column:
@@ -22,7 +34,8 @@ def trigram_length(columns: list[Column]) -> Column:
 def bm25(rows: DataFrame, keys: list[str], columns: list[str], phrases: list[str], mode: str = "or") -> DataFrame:
     """Exact BM25 scores of ``rows`` that hold all (``and``) or any (``or``) of ``phrases``.
 
-    Two narrow passes: corpus statistics as one row, then scores; phrases under three
+    One pass over the texts stores length and counts of every row (a narrow table); the
+    corpus statistics, one row, and the scores are read from it. Phrases under three
     characters match nothing (with ``and`` the result is empty).
     """
     usable = [p for p in phrases if len(p) >= 3]
@@ -30,6 +43,12 @@ def bm25(rows: DataFrame, keys: list[str], columns: list[str], phrases: list[str
         return rows.select(*keys, F.lit(0.0).alias("score")).where(F.lit(False))
     indexed = [F.coalesce(F.col(c), F.lit("")) for c in columns]
     counted = rows.select(*keys, trigram_length(indexed).alias("_len"), *[term_frequency(indexed, p).alias(f"_f{i}") for i, p in enumerate(usable)])
+    return scored(stored(counted, "term-counts"), keys, len(usable), mode)
+
+
+def scored(counted: DataFrame, keys: list[str], phrases: int, mode: str) -> DataFrame:
+    """Scores from counts (``_f0`` ..., ``_len``)."""
+    usable = range(phrases)
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(usable))])
     hits = [F.col(f"_f{i}") > 0 for i in range(len(usable))]
     wanted = hits[0]
@@ -46,12 +65,17 @@ def bm25(rows: DataFrame, keys: list[str], columns: list[str], phrases: list[str
 
 def bm25_filled(rows: DataFrame, keys: list[str], columns: list[str], phrases: list[str], limit: int) -> DataFrame:
     """Strict matches first; where they do not fill ``limit``, the best lenient ones join; sorted by score."""
-    strict = bm25(rows, keys, columns, phrases, "and").withColumn("strict", F.lit(1))
-    if len(phrases) < 2:
-        return strict.drop("strict").orderBy(F.desc("score"), *keys).limit(limit)
-    lenient = bm25(rows, keys, columns, phrases, "or")
-    rest = lenient.join(strict.select(*keys), keys, "left_anti").withColumn("strict", F.lit(0))
-    first = strict.unionByName(rest).orderBy(F.desc("strict"), F.desc("score"), *keys).limit(limit)
+    usable = [p for p in phrases if len(p) >= 3]
+    if len(phrases) < 2 or not usable:
+        return bm25(rows, keys, columns, phrases, "and").orderBy(F.desc("score"), *keys).limit(limit)
+    indexed = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+    counts = [term_frequency(indexed, p).alias(f"_f{i}") for i, p in enumerate(usable)]
+    counted = stored(rows.select(*keys, trigram_length(indexed).alias("_len"), *counts), "term-counts")
+    all_there = F.lit(len(usable) == len(phrases))
+    for i in range(len(usable)):
+        all_there = all_there & (F.col(f"_f{i}") > 0)
+    lenient = scored(counted.withColumn("strict", all_there.cast("int")), [*keys, "strict"], len(usable), "or")
+    first = lenient.orderBy(F.desc("strict"), F.desc("score"), *keys).limit(limit)
     return first.drop("strict").orderBy(F.desc("score"), *keys)
 
 
@@ -101,16 +125,24 @@ def smart_cutoff(hits: DataFrame, group: list[str], keys: list[str], ratio: floa
     """Seeds per group by scores relative to the top one (QK13, W6), with ``low_confidence``.
 
     The first ``min_k`` need only the floor, the others the dynamic threshold; the first
-    failure ends the list. A top score below the floor keeps one seed, or none with
-    ``return_empty``.
+    failure ends the list. A key counts once; where repeats leave fewer than ``min_k``
+    seeds, the next ones above the floor fill up (U6). A top score below the floor keeps
+    one seed, or none with ``return_empty``.
     """
     order = Window.partitionBy(*group).orderBy(F.desc("score"), *keys)
-    w = hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < max_k).withColumn("top", F.first("score").over(order))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.partitionBy(*group)
+    w = hits.withColumn("rank", F.row_number().over(order) - 1).withColumn("top", F.first("score").over(order))
     dynamic = F.greatest(F.lit(floor), F.least(F.col("top") * ratio, F.col("top") - delta))
-    passes = F.when(F.col("rank") < min_k, F.col("score") >= floor).otherwise(F.col("score") >= dynamic)
-    w = w.withColumn("low_confidence", F.col("top") < floor).withColumn("prefix", F.min(passes.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    passes = F.when(F.col("rank") < min_k, F.col("score") >= floor).otherwise(F.col("score") >= dynamic) & (F.col("rank") < max_k)
+    w = w.withColumn("low_confidence", F.col("top") < floor).withColumn("_prefix", F.min(passes.cast("int")).over(upto) == 1)
+    w = w.withColumn("_first", F.row_number().over(Window.partitionBy(*group, *keys).orderBy("rank")) == 1)
+    kept = ~F.col("low_confidence") & F.col("_prefix") & F.col("_first")
+    spare = ~F.col("low_confidence") & ~kept & F.col("_first") & (F.col("score") >= floor)
+    missing = min(min_k, max_k) - F.sum(kept.cast("int")).over(everything)
+    w = w.withColumn("_missing", missing).withColumn("_spare", F.when(spare, F.sum(spare.cast("int")).over(upto)))
     low = F.col("low_confidence") & (F.col("rank") == 0) & F.lit(behaviour != "return_empty")
-    return w.where(low | (~F.col("low_confidence") & (F.col("prefix") == 1))).drop("top", "prefix")
+    return w.where(low | kept | (F.col("_spare") <= F.col("_missing"))).drop("top", "_prefix", "_first", "_missing", "_spare")
 
 
 def drill_down(file_hits: DataFrame, chunks: DataFrame, tokens: list[str], per_file: int = 2, total: int = 40) -> DataFrame:

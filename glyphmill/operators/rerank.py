@@ -7,11 +7,12 @@ and local. A scorer that fails leaves the candidates as they were.
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,16 +53,58 @@ def rerank_text(breadcrumb: Column, code: Column, tokens: list[str], most: int =
     return F.concat(head, F.lit("\n"), around(code, F.lit(most) - F.length(head) - 1))
 
 
+def service(call: Callable[[list[str], list[str]], list[float]], tries: int = 3, wait: float = 0.0) -> Callable[[Column, list[str]], Column]:
+    """A scorer from a function (texts, tokens) -> scores that may fail: so many tries, then null scores."""
+
+    def scorer(text: Column, tokens: list[str]) -> Column:
+        tokens = list(tokens)
+
+        @F.pandas_udf(T.DoubleType())
+        def ask(texts: pd.Series) -> pd.Series:
+            for turn in range(tries):
+                try:
+                    scores = call([t or "" for t in texts], tokens)
+                    if len(scores) == len(texts):
+                        return pd.Series([float(s) for s in scores], dtype=float)
+                except Exception:  # noqa: BLE001 - any failure of a service counts as one try
+                    time.sleep(wait * 2**turn)
+            return pd.Series([None] * len(texts), dtype=float)
+
+        return ask(text)
+
+    return scorer
+
+
 def rerank(candidates: DataFrame, text: str, tokens: list[str], keys: list[str], top: int = 10, scorer: Callable[[Column, list[str]], Column] | None = None) -> DataFrame:
-    """The ``top`` candidates by a 0..1 score; by default the share of query tokens that the text holds."""
+    """The ``top`` candidates by a 0..1 score; by default the share of query tokens that the text holds.
+
+    Where the scorer fails for any candidate, all keep their scores (QK12).
+    """
     if not tokens:
         return candidates.orderBy(F.desc("score"), *keys).limit(top)
-    score = scorer(F.col(text), tokens) if scorer else overlap_score(F.col(text), tokens) / len(tokens)
-    return candidates.withColumn("score", score).orderBy(F.desc("score"), *keys).limit(top)
+    new = scorer(F.col(text), tokens) if scorer else overlap_score(F.col(text), tokens) / len(tokens)
+    everything = Window.partitionBy()  # candidates are a top-k of a few dozen rows
+    scored = candidates.withColumn("_new", new).withColumn("_failed", F.count_if(F.col("_new").isNull()).over(everything))
+    scored = scored.withColumn("score", F.when(F.col("_failed") == 0, F.col("_new")).otherwise(F.col("score"))).drop("_new", "_failed")
+    return scored.orderBy(F.desc("score"), *keys).limit(top)
+
+
+def _tried(model: Callable[[pd.Series], list[list[float]]], texts: pd.Series, tries: int, wait: float) -> list[list[float]]:
+    for turn in range(tries):
+        try:
+            return list(model(texts))
+        except Exception:  # noqa: BLE001 - the last failure is raised below
+            if turn == tries - 1:
+                raise
+            time.sleep(min(60.0, wait * 2**turn))
+    return []
+
 
+def embed(rows: DataFrame, text: str, name: str = "vector", dimensions: int = 64, embedder: Callable[[pd.Series], list[list[float]]] | None = None, at_once: int = 20, tries: int = 5, wait: float = 5.0) -> DataFrame:
+    """``rows`` with a vector per text; by default signed hashed words, normalised.
 
-def embed(rows: DataFrame, text: str, name: str = "vector", dimensions: int = 64, embedder: Callable[[pd.Series], list[list[float]]] | None = None) -> DataFrame:
-    """``rows`` with a vector per text; by default signed hashed words, normalised."""
+    An embedder gets ``at_once`` texts a call; a call that fails is repeated after a growing wait (S10).
+    """
 
     def hashed(texts: pd.Series) -> list[list[float]]:
         out = np.zeros((len(texts), dimensions), dtype=np.float32)
@@ -76,6 +119,9 @@ def embed(rows: DataFrame, text: str, name: str = "vector", dimensions: int = 64
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(**{name: model(frame[text])})
+            vectors: list[list[float]] = []
+            for at in range(0, len(frame), at_once if embedder else max(1, len(frame))):
+                vectors += _tried(model, frame[text].iloc[at : at + (at_once if embedder else len(frame))], tries, wait)
+            yield frame.assign(**{name: vectors})
 
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))]))

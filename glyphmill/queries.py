@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, expansion, imports, maintenance, ranking, symbols
-from .plans.context import Index, context
+from .operators import chunking, expansion, imports, maintenance, ranking, rerank, symbols, syntax
+from .plans.context import Index, context, with_code
 from .sources.corpus import files_of_documents
+from .sources.scratch import stored
 from .streaming.watch import bursts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +84,12 @@ def list_symbols_filter(spark, d):
 
 @register("symbols_per_file", f"WITH {_SYMBOLS_SQL} SELECT path, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM y WHERE kind <> 'call' GROUP BY path")
 def symbols_per_file(spark, d):
-    return _symbols(spark, d).where("kind <> 'call'").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    return symbols.symbols_per_file(_symbols(spark, d))
+
+
+@register("languages_by_count", f"WITH {FILES_SQL} SELECT language, count(*) AS n FROM f GROUP BY language")
+def languages_by_count(spark, d):
+    return symbols.languages(_files(spark, d))
 
 
 @register(
@@ -128,29 +134,68 @@ def outbox_replay(spark, d):
     "snapshot_diff",
     f"""WITH {FILES_SQL}, s AS (SELECT * FROM f WHERE doc_id % 17 <> 0),
 k AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE hash END AS hash, CASE WHEN doc_id % 3 = 0 THEN size ELSE size + 1 END AS size, doc_id FROM f WHERE doc_id % 10 <> 0)
-SELECT s.path, CASE WHEN s.size > 10000 THEN 'skipped' WHEN k.path IS NOT NULL AND s.size = k.size THEN 'unchanged' WHEN k.path IS NULL THEN 'added' WHEN s.hash = k.hash THEN 'unchanged' ELSE 'modified' END AS status
+SELECT s.path, CASE WHEN s.size > 102400 THEN 'skipped' WHEN k.path IS NOT NULL AND s.size = k.size THEN 'unchanged' WHEN k.path IS NULL THEN 'added' WHEN s.hash = k.hash THEN 'unchanged' ELSE 'modified' END AS status
 FROM s LEFT JOIN k ON k.path = s.path UNION ALL SELECT path, 'deleted' FROM k WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.path = k.path)""",
 )
 def snapshot_diff(spark, d):
     files = _files(spark, d)
     i = F.col("doc_id")
     known = files.where(i % 10 != 0).select("path", F.when(i % 5 == 0, "x").otherwise(F.col("hash")).alias("hash"), F.when(i % 3 == 0, F.col("size")).otherwise(F.col("size") + 1).alias("size"), "mtime")
-    return maintenance.snapshot_diff(files.where(i % 17 != 0), known, limit=10000)
+    return maintenance.snapshot_diff(files.where(i % 17 != 0), known)
+
+
+@register("scan_counts", f"""WITH {FILES_SQL}, s AS (SELECT * FROM f WHERE doc_id % 17 <> 0), k AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE hash END AS hash, CASE WHEN doc_id % 3 = 0 THEN size ELSE size + 1 END AS size FROM f WHERE doc_id % 10 <> 0),
+t AS (SELECT CASE WHEN s.size > 102400 THEN 'skipped' WHEN k.path IS NOT NULL AND s.size = k.size THEN 'unchanged' WHEN k.path IS NULL THEN 'added' WHEN s.hash = k.hash THEN 'unchanged' ELSE 'modified' END AS status FROM s LEFT JOIN k ON k.path = s.path UNION ALL SELECT 'deleted' FROM k WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.path = k.path))
+SELECT count(*) FILTER (status <> 'deleted') AS total, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'deleted') AS deleted FROM t""")
+def scan_counts(spark, d):
+    return maintenance.scan_counts(snapshot_diff(spark, d))
 
 
-@register("symbol_upsert", f"WITH {_SYMBOLS_SQL} SELECT path, count(*) AS n FROM (SELECT DISTINCT path, hash, source, kind, name, start_line FROM y UNION ALL SELECT DISTINCT path, 'new', 'ctags', 'function', name, start_line FROM y WHERE start_line % 2 = 0) z WHERE (hash = 'new') = (path IN (SELECT path FROM y WHERE start_line % 2 = 0)) GROUP BY path")
+@register("self_heal", f"""WITH {MANIFEST_SQL}, w AS (SELECT f.path FROM f LEFT JOIN v ON v.path = f.path WHERE v.path IS NULL OR v.m_hash <> f.hash OR v.status <> 'ready'),
+s AS (SELECT * FROM f WHERE doc_id % 17 <> 0), k AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE hash END AS hash, CASE WHEN doc_id % 3 = 0 THEN size ELSE size + 1 END AS size FROM f WHERE doc_id % 10 <> 0)
+SELECT s.path FROM s JOIN k ON k.path = s.path WHERE s.size <= 102400 AND (s.size = k.size OR s.hash = k.hash) AND s.path IN (SELECT path FROM w)""")
+def self_heal(spark, d):
+    return maintenance.self_heal(snapshot_diff(spark, d), maintenance.needs_index(*_manifest(spark, d)))
+
+
+@register(
+    "symbol_upsert",
+    f"""WITH {_SYMBOLS_SQL}, o AS (SELECT DISTINCT path, hash, source, kind, name, start_line FROM y)
+SELECT path, 'new' AS hash, 'ctags' AS source, 'function' AS kind, name, start_line FROM o WHERE start_line % 2 = 0 UNION ALL SELECT path, hash, source, kind, name, start_line FROM o WHERE path NOT IN (SELECT path FROM o WHERE start_line % 2 = 0)""",
+)
 def symbol_upsert(spark, d):
     old = _symbols(spark, d).select("path", "hash", "source", "kind", "name", "start_line", F.col("start_line").alias("end_line"))
     fresh = old.where("start_line % 2 = 0").select("path", F.lit("new").alias("hash"), F.lit("ctags").alias("source"), F.lit("function").alias("kind"), "name", "start_line", "end_line")
     twice = fresh.withColumn("seq", F.lit(1)).unionByName(fresh.withColumn("seq", F.lit(2)))
-    return maintenance.upsert_symbols(old, twice, "seq").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return maintenance.upsert_symbols(old, twice, "seq").drop("end_line")
+
 
+_GONE = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
 
-@register("cascade_delete", "SELECT o_orderkey AS source_path, o_custkey AS target_path FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+
+@register(
+    "cascade_delete",
+    f"""SELECT 'files' AS part, c_custkey AS path, CAST(c_nationkey AS BIGINT) AS other FROM customer WHERE c_custkey NOT IN ({_GONE}) UNION ALL SELECT 'manifest', c_custkey, CAST(0 AS BIGINT) FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN ({_GONE})
+UNION ALL SELECT 'symbols', o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN ({_GONE}) UNION ALL SELECT 'edges', o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN ({_GONE}) AND o_orderkey NOT IN ({_GONE})""",
+)
 def cascade_delete(spark, d):
-    edges = _table(spark, d, "orders").select(F.col("o_orderkey").alias("source_path"), F.col("o_custkey").alias("target_path"))
-    gone = _table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("path"))
-    return maintenance.cascade_delete({"edges": edges}, gone)["edges"]
+    customer, orders = _table(spark, d, "customer"), _table(spark, d, "orders")
+    tables = {
+        "files": customer.select(F.col("c_custkey").alias("path"), F.col("c_nationkey").cast("long").alias("other")),
+        "manifest": customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("path"), F.lit(0).cast("long").alias("other")),
+        "symbols": orders.select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("other")),
+        "edges": orders.select(F.col("o_orderkey").alias("source_path"), F.col("o_custkey").alias("target_path")),
+    }
+    left = maintenance.cascade_delete(tables, customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("path")))
+    left["edges"] = left["edges"].select(F.col("source_path").alias("path"), F.col("target_path").alias("other"))
+    parts = [df.select(F.lit(name).alias("part"), "path", "other") for name, df in left.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register("forget_vectors", f"WITH {MANIFEST_SQL} SELECT path, m_hash AS hash, CASE WHEN label % 2 = 0 THEN 'pending' ELSE status END AS status FROM v")
+def forget_vectors(spark, d):
+    files, manifest = _manifest(spark, d)
+    return maintenance.forget_vectors(files, manifest, manifest.where("chunk_count % 2 = 0"))[1].select("path", "hash", "status")
 
 
 @register("stats_rates", "SELECT event_type AS name, CASE WHEN count(*) > 0 THEN round(sum(value) / count(*), 6) END AS avg_ms, CASE WHEN count(*) FILTER (user_id % 2 = 0) > 0 THEN round(CAST(count(*) FILTER (user_id % 4 = 0) AS DOUBLE) / count(*) FILTER (user_id % 2 = 0), 6) END AS hit_rate FROM events GROUP BY event_type")
@@ -193,12 +238,13 @@ def offset_to_line(spark, d):
 
 @register(
     "scalar_text",
-    f"""WITH {FILES_SQL} SELECT path, CASE WHEN length(path) <= 9 THEN path ELSE substr(path, 1, 3) || '...' || right(path, 3) END AS short, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f KB', floor(size / 102.4 + 0.5) / 10) END AS shown,
-md5(content) AS digest, CASE WHEN length(content) <= 100 THEN content ELSE substr(content, 1, 67) || '...' || right(content, 30) END AS cut FROM f WHERE size < 1048576""",
+    f"""WITH {FILES_SQL} SELECT path, CASE WHEN length(path) <= 9 THEN path ELSE substr(path, 1, 3) || '...' || right(path, 3) END AS short,
+CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', floor(size / 102.4 + 0.5) / 10) WHEN size IS NOT NULL THEN printf('%.1f MB', floor(size / 104857.6 + 0.5) / 10) END AS shown,
+md5(content) AS digest, CASE WHEN length(content) <= 100 THEN content ELSE substr(content, 1, 67) || '...' || right(content, 30) END AS cut FROM f""",
 )
 def scalar_text(spark, d):
     c = F.col("content")
-    return _files(spark, d).where("size < 1048576").select("path", tx.truncate_middle(F.col("path"), 9).alias("short"), tx.human_size(F.col("size")).alias("shown"), F.md5(c).alias("digest"), tx.truncate_head_tail(c, 100).alias("cut"))
+    return _files(spark, d).select("path", tx.truncate_middle(F.col("path"), 9).alias("short"), tx.human_size(F.col("size")).alias("shown"), F.md5(c).alias("digest"), tx.truncate_head_tail(c, 100).alias("cut"))
 
 
 @register("references_lines", f"WITH {FILES_SQL}, l AS (SELECT path, unnest(string_split(content, E'\\n')) AS s, generate_subscripts(string_split(content, E'\\n'), 1) AS line FROM f) SELECT path, CAST(line AS INTEGER) AS line, trim(s, ' ') AS text FROM l WHERE regexp_matches(s, '(?:^|[^A-Za-z0-9_$])thing(?:$|[^A-Za-z0-9_$])')")
@@ -286,8 +332,10 @@ SELECT path, chunk_index, round(score, 6) AS score FROM (SELECT path, chunk_inde
 )
 def lexical_drill_down(spark, d):
     files = _files(spark, d)
-    hits = ranking.bm25(files, ["path"], ["content"], PHRASES).orderBy(F.desc("score"), "path").limit(20)
-    code = _chunks(spark, d).join(files.select("path", "content"), "path").withColumn("code", tx.clamp_slice(F.col("content"), F.col("start"), F.col("end"))).drop("content")
+    hits = ranking.pinned(ranking.bm25(files, ["path"], ["content"], PHRASES).orderBy(F.desc("score"), "path").limit(20))
+    #: Only the files that were hit are cut into chunks.
+    wanted = files.join(F.broadcast(hits.select("path")), "path", "left_semi")
+    code = chunking.chunk_table(wanted).join(wanted.select("path", "content"), "path").withColumn("code", tx.clamp_slice(F.col("content"), F.col("start"), F.col("end"))).drop("content")
     return _rounded(ranking.drill_down(hits, code, PHRASES), "score")
 
 
@@ -316,12 +364,19 @@ def variant_merge(spark, d):
 
 # --- expansion and packing ----------------------------------------------------------------
 
-_SEEDS_SQL = CHUNKS_SQL + ", s AS (SELECT CAST(doc_id % 7 AS BIGINT) AS query_id, path, chunk_index, CAST((doc_id * 31 + chunk_index) % 100 AS DOUBLE) / 100 AS score FROM c WHERE (doc_id + chunk_index) % 9 = 0)"
+_SEEDS_SQL = (
+    CHUNKS_SQL
+    + """, s AS (SELECT CAST(doc_id % 7 AS BIGINT) AS query_id, path, chunk_index, score FROM (SELECT *, CAST((doc_id * 31 + chunk_index * 17) % 100 AS DOUBLE) / 100 AS score,
+row_number() OVER (PARTITION BY path ORDER BY (doc_id * 31 + chunk_index * 17) % 100 DESC, chunk_index) AS nth FROM c) WHERE nth = 1)"""
+)
 
 
-def _seeds(spark, d, chunks):
+def _seeds(chunks):
+    """The best chunk of each file by a made-up score."""
     i = F.regexp_extract("path", r"/(\d+)\.", 1).cast("long")
-    return chunks.where((i + F.col("chunk_index")) % 9 == 0).select((i % 7).alias("query_id"), "path", "chunk_index", (((i * 31 + F.col("chunk_index")) % 100).cast("double") / 100).alias("score"))
+    score = ((i * 31 + F.col("chunk_index") * 17) % 100).cast("double") / 100
+    best = chunks.groupBy("path").agg(F.max(F.struct(score.alias("score"), (-F.col("chunk_index")).alias("late"))).alias("b"))
+    return best.select((i % 7).alias("query_id"), "path", (-F.col("b.late")).alias("chunk_index"), F.col("b.score").alias("score"))
 
 
 @register(
@@ -331,8 +386,8 @@ FROM s JOIN c ON c.path = s.path AND abs(c.chunk_index - s.chunk_index) BETWEEN
 SELECT query_id, path, chunk_index, round(score * power(0.8, dist), 9) AS score FROM n WHERE nth = 1""",
 )
 def neighbor_expand(spark, d):
-    chunks = _chunks(spark, d)
-    return expansion.neighbours(_seeds(spark, d, chunks), chunks).withColumn("score", F.round("score", 9))
+    chunks = stored(_chunks(spark, d).select("path", "chunk_index"), "chunks")
+    return expansion.neighbours(_seeds(chunks), chunks).withColumn("score", F.round("score", 9))
 
 
 @register(
@@ -342,17 +397,95 @@ n AS (SELECT g.query_id, c.path, c.chunk_index, g.score, row_number() OVER (PART
 SELECT query_id, path, chunk_index, round(score * 0.7, 9) AS score FROM n WHERE nth <= 3""",
 )
 def breadcrumb_expand(spark, d):
-    chunks = _chunks(spark, d)
-    return expansion.breadcrumb_siblings(_seeds(spark, d, chunks), chunks).withColumn("score", F.round("score", 9))
+    chunks = stored(_chunks(spark, d).select("path", "chunk_index", "breadcrumb"), "chunks")
+    return expansion.breadcrumb_siblings(_seeds(chunks), chunks).withColumn("score", F.round("score", 9))
+
+
+#: Source code made of table rows: a Python class of eight customers a file, a TypeScript class of eight suppliers.
+_CODE_SQL = r"""py AS (SELECT c_custkey // 8 AS g, c_custkey AS k, row_number() OVER (PARTITION BY c_custkey // 8 ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_custkey // 8) AS n, 'py/g' || c_custkey // 8 || '.py' AS path, 'class G' || c_custkey // 8 || E':
+' AS head, 'class G' || c_custkey // 8 AS class, 'c' || c_custkey AS name,
+'    def c' || c_custkey || E'(self, a):
+' || repeat('        total = total + compute(a, "' || c_name || E'") * 2
+', 6) AS m, '' AS tail, 4 AS indent, 7 AS lines, 'function' AS kind, 'def ' AS label FROM customer),
+ts AS (SELECT s_suppkey // 8 AS g, s_suppkey AS k, row_number() OVER (PARTITION BY s_suppkey // 8 ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_suppkey // 8) AS n, 'ts/s' || s_suppkey // 8 || '.ts' AS path, 'export class S' || s_suppkey // 8 || E' {
+' AS head, 'class S' || s_suppkey // 8 AS class, 'm' || s_suppkey AS name,
+'  m' || s_suppkey || E'(a: string): number {
+' || repeat('    this.total = this.total + compute(a, "' || s_name || E'") * 2;
+', 5) || E'  }
+' AS m, E'}
+' AS tail, 2 AS indent, 7 AS lines, 'method' AS kind, '' AS label FROM supplier),
+code AS (SELECT *, CAST(length(head) + sum(length(m)) OVER (PARTITION BY path ORDER BY i) - length(m) AS INTEGER) AS pos FROM (SELECT * FROM py UNION ALL SELECT * FROM ts)),
+cut AS (SELECT path, CAST(i - 1 AS INTEGER) AS chunk_index, CASE WHEN i = 1 THEN 0 ELSE pos + indent END AS start, CAST(pos + length(m) - 1 + CASE WHEN i = n THEN 2 * CAST(tail <> '' AS INTEGER) ELSE 0 END AS INTEGER) AS "end", CASE WHEN i = 1 THEN 0 ELSE pos - 1 END AS raw_start,
+CAST(CASE WHEN i = n THEN pos + length(m) + length(tail) ELSE pos + length(m) - 1 END AS INTEGER) AS raw_end, path || ' > ' || class || ' > ' || label || name AS breadcrumb FROM code)"""
+
+
+def _code_files(spark, d):
+    def made(table, key, label, language, folder, extension, head, method, tail):
+        k = F.col(key)
+        g = F.floor(k / 8).cast("long").cast("string")
+        rows = _table(spark, d, table).select(g.alias("g"), k.alias("k"), method(k.cast("string"), F.col(label)).alias("m"))
+        whole = rows.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]), "").alias("body"))
+        content = F.concat(F.format_string(head, "g"), F.col("body"), F.lit(tail))
+        path = F.concat(F.lit(folder), F.col("g"), F.lit(extension))
+        return whole.select(path.alias("path"), F.sha2(content, 256).alias("hash"), F.lit(language).alias("language"), content.alias("content"))
+
+    python = made(
+        "customer", "c_custkey", "c_name", "python", "py/g", ".py", "class G%s:\n",
+        lambda k, n: F.concat(F.lit("    def c"), k, F.lit("(self, a):\n"), F.repeat(F.concat(F.lit('        total = total + compute(a, "'), n, F.lit('") * 2\n')), F.lit(6))), "",
+    )
+    script = made(
+        "supplier", "s_suppkey", "s_name", "typescript", "ts/s", ".ts", "export class S%s {\n",
+        lambda k, n: F.concat(F.lit("  m"), k, F.lit("(a: string): number {\n"), F.repeat(F.concat(F.lit('    this.total = this.total + compute(a, "'), n, F.lit('") * 2;\n')), F.lit(5)), F.lit("  }\n")), "}\n",
+    )
+    return python.unionByName(script)
+
+
+@register("syntax_chunks", f'WITH {_CODE_SQL} SELECT path, chunk_index, start, "end", raw_start, raw_end, breadcrumb FROM cut')
+def syntax_chunks(spark, d):
+    return syntax.chunks_of(_code_files(spark, d)).select("path", "chunk_index", "start", "end", "raw_start", "raw_end", "breadcrumb")
+
+
+@register("syntax_symbols", f"WITH {_CODE_SQL} SELECT path, name, kind, CAST(2 + (i - 1) * lines AS INTEGER) AS start_line, CAST(1 + i * lines AS INTEGER) AS end_line FROM code UNION ALL SELECT path, substr(class, 7), 'class', 1, CAST(1 + n * lines + CAST(tail <> '' AS INTEGER) AS INTEGER) FROM code WHERE i = 1")
+def syntax_symbols(spark, d):
+    return syntax.symbols_of(_code_files(spark, d)).select("path", "name", "kind", "start_line", "end_line")
+
+
+@register("syntax_calls", f"WITH {_CODE_SQL} SELECT path, 'compute' AS callee, CAST(2 + (i - 1) * lines + x AS INTEGER) AS line FROM code, unnest(range(1, CASE WHEN tail = '' THEN 7 ELSE 6 END)) AS r(x)")
+def syntax_calls(spark, d):
+    return syntax.calls_of(_code_files(spark, d)).select("path", "callee", "line")
+
+
+@register(
+    "class_siblings",
+    f"""WITH {_CODE_SQL}, s AS (SELECT path, chunk_index FROM cut WHERE chunk_index % 3 = 1), n AS (SELECT c.path, c.chunk_index, row_number() OVER (PARTITION BY c.path ORDER BY c.chunk_index) AS nth FROM cut c WHERE c.path IN (SELECT path FROM s) AND c.chunk_index % 3 <> 1)
+SELECT CAST(0 AS INTEGER) AS query_id, path, chunk_index, CAST(0.7 AS DOUBLE) AS score FROM n WHERE nth <= 3""",
+)
+def class_siblings(spark, d):
+    """Members of one class share the parent of their breadcrumbs: the general case of ``breadcrumb_expand``."""
+    chunks = stored(syntax.chunks_of(_code_files(spark, d)).select("path", "chunk_index", "breadcrumb"), "chunks")
+    seeds = chunks.where("chunk_index % 3 = 1").select(F.lit(0).alias("query_id"), "path", "chunk_index", F.lit(1.0).alias("score"))
+    return expansion.breadcrumb_siblings(seeds, chunks).withColumn("score", F.round("score", 9))
+
+
+@register("definition_snippets", f"WITH {_CODE_SQL} SELECT path, name, CAST(2 + (i - 1) * lines AS INTEGER) AS start_line, rtrim(m, E'\n') AS snippet FROM code")
+def definition_snippets(spark, d):
+    files = _code_files(spark, d)
+    found = syntax.symbols_of(files).where("kind <> 'class'")
+    return symbols.definition_snippets(found, files).select("path", "name", "start_line", "snippet")
 
 
-_LINKS_SQL = FILES_SQL + ", k AS (SELECT a.path AS src, b.path AS dst FROM f a JOIN f b ON b.doc_id IN ((a.doc_id * 7 + 1) % 1000, (a.doc_id * 3 + 2) % 1000)), s AS (SELECT doc_id % 5 AS query_id, path, CAST(doc_id % 10 AS DOUBLE) / 10 AS score FROM f WHERE doc_id % 11 = 0)"
+_LINKS_SQL = (
+    FILES_SQL
+    + ", t AS (SELECT greatest(count(*), 1) AS n FROM f), k AS (SELECT a.path AS src, b.path AS dst FROM f a, t JOIN f b ON b.doc_id IN ((a.doc_id * 7 + 1) % t.n, (a.doc_id * 3 + 2) % t.n)), s AS (SELECT doc_id // 20 AS query_id, path, CAST(doc_id % 10 AS DOUBLE) / 10 AS score FROM f)"
+)
 
 
 def _links(spark, d):
+    """Two made-up links from every file to any others, and every file as a seed of a query of twenty."""
     files = _files(spark, d).select("doc_id", "path")
-    to = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.array((F.col("doc_id") * 7 + 1) % 1000, (F.col("doc_id") * 3 + 2) % 1000))).alias("doc_id"))
-    seeds = files.where("doc_id % 11 = 0").select((F.col("doc_id") % 5).alias("query_id"), "path", F.lit(0).alias("chunk_index"), ((F.col("doc_id") % 10).cast("double") / 10).alias("score"))
+    n = F.lit(max(1, files.count()))
+    to = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.array((F.col("doc_id") * 7 + 1) % n, (F.col("doc_id") * 3 + 2) % n))).alias("doc_id"))
+    seeds = files.select(F.floor(F.col("doc_id") / 20).alias("query_id"), "path", F.lit(0).alias("chunk_index"), ((F.col("doc_id") % 10).cast("double") / 10).alias("score"))
     return to.join(files.withColumnRenamed("path", "dst"), "doc_id").select("src", "dst"), seeds
 
 
@@ -424,20 +557,27 @@ def import_strings(spark, d):
     return pages.select(F.col("url").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("import_str"))
 
 
-_TREE = [
-    ("src/app.ts", "typescript", "import { a } from './util';\nimport b from '../lib/b.js';\nimport x from 'react';\n"), ("src/util.ts", "typescript", "export const a = 1;\n"), ("lib/b.ts", "typescript", ""),
-    ("pkg/a/main.py", "python", "from .util import f\nimport pkg.b.tools\n"), ("pkg/a/util.py", "python", ""), ("pkg/b/tools.py", "python", ""), ("rs/src/main.rs", "rust", "mod net;\nuse crate::net::tcp;\n"), ("rs/src/net/mod.rs", "rust", ""),
-    ("rs/src/net/tcp.rs", "rust", ""), ("c/a.cpp", "cpp", '#include "b.h"\n'), ("c/b.h", "cpp", ""), ("j/src/com/x/Main.java", "java", "import com.x.Util;\n"), ("j/src/com/x/Util.java", "java", ""),
-]
-
-
 @register(
     "import_resolve",
-    """SELECT * FROM (VALUES ('src/app.ts', './util', 'src/util.ts'), ('src/app.ts', '../lib/b.js', 'lib/b.ts'), ('pkg/a/main.py', '.util', 'pkg/a/util.py'), ('pkg/a/main.py', 'pkg.b.tools', 'pkg/b/tools.py'), ('rs/src/main.rs', 'mod net', 'rs/src/net/mod.rs'),
-('rs/src/main.rs', 'crate::net::tcp', 'rs/src/net/tcp.rs'), ('c/a.cpp', 'b.h', 'c/b.h'), ('j/src/com/x/Main.java', 'com.x.Util', 'j/src/com/x/Util.java')) t(src, import_str, dst)""",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey // 10 AS g FROM customer), s AS (SELECT s_suppkey AS k, s_suppkey // 10 AS g FROM supplier), p AS (SELECT p_partkey AS k FROM part)
+SELECT 'pkg/g' || a.g || '/c' || a.k || '.py' AS src, '.c' || b.k AS import_str, 'pkg/g' || b.g || '/c' || b.k || '.py' AS dst FROM c a JOIN c b ON b.k = a.k + 1 AND b.g = a.g
+UNION ALL SELECT 'pkg/g' || a.g || '/c' || a.k || '.py', 'pkg.g' || b.g || '.c' || b.k, 'pkg/g' || b.g || '/c' || b.k || '.py' FROM c a JOIN c b ON b.k = a.k + 2
+UNION ALL SELECT 'web/g' || a.g || '/m' || a.k || '.ts', './m' || b.k, 'web/g' || b.g || '/m' || b.k || '.ts' FROM s a JOIN s b ON b.k = a.k + 1 AND b.g = a.g
+UNION ALL SELECT 'web/g' || a.g || '/m' || a.k || '.ts', './m' || b.k || '.js', 'web/g' || b.g || '/m' || b.k || '.ts' FROM s a JOIN s b ON b.k = a.k + 2 AND b.g = a.g
+UNION ALL SELECT 'rs/src/m' || a.k || '.rs', 'crate::m' || b.k || '::T', 'rs/src/m' || b.k || '.rs' FROM p a JOIN p b ON b.k = a.k + 1""",
 )
 def import_resolve(spark, d):
-    files = spark.createDataFrame(_TREE, "path string, language string, content string")
+    """Every customer, supplier and part as a Python, TypeScript or Rust file that imports the next ones."""
+
+    def made(table, key, language, path, content, group=True):
+        k = F.col(key).cast("long")
+        g = lambda x: [F.floor(x / 10).cast("long"), x] if group else [x]
+        return _table(spark, d, table).select(F.format_string(path, *g(k)).alias("path"), F.lit(language).alias("language"), content(k, g).alias("content"))
+
+    python = made("customer", "c_custkey", "python", "pkg/g%d/c%d.py", lambda k, g: F.format_string("from .c%d import f\nimport pkg.g%d.c%d\n", k + 1, *g(k + 2)))
+    script = made("supplier", "s_suppkey", "typescript", "web/g%d/m%d.ts", lambda k, g: F.format_string("import { a } from './m%d';\nimport './m%d.js';\nimport r from 'react';\n", k + 1, k + 2))
+    rust = made("part", "p_partkey", "rust", "rs/src/m%d.rs", lambda k, g: F.format_string("use crate::m%d::T;\nuse std::fmt;\nmod q;\n", k + 1), False)
+    files = python.unionByName(script).unionByName(rust)
     return imports.resolve_imports(imports.extract_imports(files), files.select("path")).select("src", "import_str", "dst")
 
 
@@ -449,10 +589,15 @@ def watch_bursts(spark, d):
 
 @register("context_pack")
 def context_pack(spark, d):
-    """The whole retrieval plan for one query: positions, paths and spans of the packed segments."""
+    """The whole retrieval plan for one query: positions, paths and spans of the packed segments.
+
+    Every chunk has a vector (the local embedder), and files whose manifest row is not ready are not found.
+    """
     files = _files(spark, d)
-    chunks = _chunks(spark, d).persist()  # an index stores this table; here it is made once per query
-    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    vectors = files.select("doc_id", "path").join(e, "doc_id").select("path", F.lit(0).alias("chunk_index"), "vector")
-    links, _ = _links(spark, d)
-    return context(Index(files, chunks, vectors, links), "thing and ation with quel", _vector(spark, d)).select("position", "path", "raw_start", "raw_end")
+    chunks = stored(_chunks(spark, d), "chunks")
+    texts = with_code(Index(files, chunks), chunks.select("path", "chunk_index")).select("path", "chunk_index", "code")
+    vectors = stored(rerank.embed(texts, "code").drop("code"), "vectors")
+    query = "thing and ation with quel"
+    vector = list(rerank.embed(spark.createDataFrame([(query,)], "text string"), "text").first()["vector"])
+    ready = maintenance.ready_hashes(*_manifest(spark, d))
+    return context(Index(files, chunks, vectors, _links(spark, d)[0], ready), query, vector).select("position", "path", "raw_start", "raw_end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,15 +12,21 @@ from ..functions.text import quote
 
 #: Language by file extension.
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "py": "python", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp",
-    "rb": "ruby", "php": "php", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "lua": "lua", "sh": "shell", "bash": "shell", "zsh": "shell",
-    "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "html": "html", "css": "css", "scss": "scss", "sql": "sql",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "md": "markdown", "py": "python", "go": "go",
+    "rs": "rust", "java": "java", "kt": "kotlin", "swift": "swift", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "cpp", "c": "c", "sh": "shell", "bash": "shell",
+    "zsh": "shell", "fish": "shell", "ps1": "powershell", "sql": "sql", "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml", "xml": "xml", "html": "html", "css": "css",
+    "scss": "scss", "sass": "sass", "less": "less", "vue": "vue", "svelte": "svelte", "rb": "ruby", "php": "php", "dart": "dart", "lua": "lua", "r": "r",
 }
 #: Folders and files that are never indexed.
 DEFAULT_IGNORE = (
-    ".git/", "node_modules/", "dist/", "build/", "out/", "target/", "vendor/", "__pycache__/", ".venv/", "venv/", ".idea/", ".vscode/", ".cache/", "coverage/",
-    "*.min.js", "*.min.css", "*.map", "*.lock", "*.log", "*.png", "*.jpg", "*.gif", "*.pdf", "*.zip", "*.gz", "*.so", "*.dll", "*.exe", "*.class", "*.pyc",
+    "node_modules", "bower_components", ".venv", "venv", ".env.*", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "poetry.lock", "Gemfile.lock", "composer.lock",
+    "Cargo.lock", ".git", ".svn", ".hg", ".idea", ".vscode", ".vs", "dist", "build", "out", "target", "*.pyc", "*.pyo", "*.pyd", "*.so", "*.dll", "*.exe", "*.bin", "*.wasm",
+    ".next", ".nuxt", ".output", ".svelte-kit", ".turbo", ".parcel-cache", ".webpack", ".esbuild", ".rollup.cache", "coverage", ".nyc_output", "__pycache__", ".pytest_cache",
+    ".mypy_cache", ".tox", ".eggs", "*.egg-info", "*.min.js", "*.min.css", "*.map", "*.svg", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", "*.webp", "*.bmp", "*.pdf", "*.mp3",
+    "*.mp4", "*.wav", "*.webm", "*.ogg", "*.flac", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.otf", "*.zip", "*.tar", "*.gz", "*.rar", "*.7z", ".DS_Store", "Thumbs.db",
+    "__snapshots__", "*.snap", "test/fixtures", "tests/fixtures", "__fixtures__", "test/data", "tests/data", "testdata", "test-data", "testutils", "mock", "mocks", "__mocks__",
+    "stub", "stubs", "vendor", "vendors", "third_party", "thirdparty", "3rdparty", "external", "externals", "generated", "gen", "auto-generated", "*.generated.ts",
+    "*.generated.js", "*.pb.go", "*.pb.ts", "*.log", ".cache", ".tmp", "tmp",
 )
 
 
@@ -65,12 +72,24 @@ def decoded(content: Column) -> Column:
     return F.when(start == "EFBBBF", F.decode(rest(3), "UTF-8")).when(start.startswith("FFFE"), F.decode(rest(2), "UTF-16LE")).when(start.startswith("FEFF"), F.decode(rest(2), "UTF-16BE")).otherwise(F.decode(content, "UTF-8"))
 
 
+def root_ignore(spark: SparkSession, root: str) -> list[str]:
+    """Rules of ``IGNORE_PATTERNS`` (comma-separated) and of the ``.gitignore`` in the root folder, in this order."""
+    own = [p.strip() for p in os.environ.get("IGNORE_PATTERNS", "").split(",") if p.strip()]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):  # Spark's own readers leave dot files out
+        stream = fs.open(path)
+        own += spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+        stream.close()
+    return own
+
+
 def crawl(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """Files under ``root``: path (relative), hash, mtime, size, content, language; ignore and extension rules apply before reading bytes."""
     base = root.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace("path", "^.*?" + quote(base.removeprefix("file:")), "")
-    rules = compile_ignore([*DEFAULT_IGNORE, *(ignore or [])])
+    rules = compile_ignore([*DEFAULT_IGNORE, *(ignore or []), *root_ignore(spark, root)])
     kept = found.withColumn("path", relative).where(is_allowed(F.col("path")) & ~is_ignored(F.col("path"), rules))
     text = kept.select("path", F.unix_millis("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), decoded(F.col("content")).alias("content"))
     return text.select("path", F.sha2("content", 256).alias("hash"), "mtime", "size", "content", language_of(F.col("path")).alias("language"))
