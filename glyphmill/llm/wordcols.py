@@ -28,6 +28,9 @@ SLICE_BYTES = 1 << 20
 #: Bytes whose prefix sums are held at once while spans are hashed.
 HASH_BYTES = 1 << 18
 
+#: Size from which an array is mapped alone; smaller ones are used again without new pages.
+MAPPED_BYTES = 5 << 20
+
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,7 +64,7 @@ def keep_freed_memory_low() -> None:
     """Has large arrays mapped one by one (``mallopt``), so that freeing one gives its pages back."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+        ctypes.CDLL(None).mallopt(-3, MAPPED_BYTES)
     except (AttributeError, OSError):  # another C library: freed pages return later
         pass
 
@@ -78,11 +81,12 @@ def release() -> None:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of the public splitmix64 generator: spreads every input bit over 64 bits."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    moved = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(x, np.uint64(shift), out=moved)
+        x ^= moved
+        if factor != 1:
+            x *= np.uint64(factor)
     return x
 
 
