@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .spotsigs import ANCHORS
 from .support import fresh
 from .weak_labels import fit_label_model, fit_linear
-from .wordcols import LETTER, Words, lean, letters_only, mix, slices, text_buffer
+from .wordcols import LETTER, Words, lean, letters_only, mix, per_text, slices, text_buffer
 
 SAMPLE = 8000
 BUCKETS = 1 << 14
@@ -49,19 +49,15 @@ _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58], _SHAPE[128:] = 97, 65, 48, 97
 
 
-def _per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
-
-
 def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Votes of ``LABELLERS`` (texts x labellers): 0 bad, -1 abstains."""
     n = len(offsets) - 1
     words = Words(data, offsets)
     doc, count = words.doc, np.diff(words.first)
     size = np.maximum(1, np.diff(offsets))
-    letters = np.maximum(1, _per_text(LETTER[data], offsets))
-    upper = _per_text((data >= 65) & (data <= 90), offsets) / letters
-    symbols = _per_text(_SYMBOL[data], offsets) / size
+    letters = np.maximum(1, per_text(LETTER[data], offsets))
+    upper = per_text((data >= 65) & (data <= 90), offsets) / letters
+    symbols = per_text(_SYMBOL[data], offsets) / size
     #: Words that are new in their passage of ``PASSAGE`` words: no measure of length.
     passage = (np.arange(len(doc)) - words.first[doc]) // PASSAGE
     pairs = np.lexsort((words.hash, passage, doc))
@@ -77,7 +73,7 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     function = np.bincount(runs.doc, common, minlength=n) / np.maximum(1, np.diff(runs.first))
     stop = np.bincount(doc, np.isin(data[words.end - 1], [46, 63]) if len(doc) else None, minlength=n) / np.maximum(1, count)
     length = np.bincount(doc, words.end - words.start, minlength=n) / np.maximum(1, count)
-    digit = _per_text((data >= 48) & (data <= 57), offsets) / size
+    digit = per_text((data >= 48) & (data <= 57), offsets) / size
     #: Lines: the share of words that stand on a line whose first word and length were seen before in the text.
     line_start = np.flatnonzero(data == 10) + 1
     line_doc = np.searchsorted(offsets, line_start, side="right") - 1

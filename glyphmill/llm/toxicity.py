@@ -15,8 +15,9 @@ are never returned to the driver, only the voters' votes and feature indices.
 Defined results: null and empty texts have no features and get the model's base score;
 rows without a label are scored but not learnt from; without labels of both classes the
 score is the share of toxic labels (0 if there are none); several labels of one id that
-disagree count as toxic; equal texts get equal scores; empty tables give empty results;
-clashing added columns get a leading underscore.
+disagree count as toxic; equal texts get equal scores, so ties and repeated rows do; texts
+of any length are read whole; empty tables give empty results; clashing added columns get
+a leading underscore. ``FEATURES`` and ``VOTERS`` bound what the model holds, not the texts.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from .support import fresh, held_out, materialise
 from .weak_labels import fit_label_model, fit_linear, labelled_beliefs
-from .wordcols import LETTER, Words, lean, letters_only, mix, slices, text_buffer
+from .wordcols import LETTER, Words, lean, letters_only, mix, per_text, slices, text_buffer
 
 THRESHOLD = 0.3
 SAMPLE = 20_000
@@ -65,7 +66,7 @@ def pattern_votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Votes of the pattern voters (texts x 4): shouting, exclamation, symbol noise, repeated words."""
     n = len(offsets) - 1
     size = np.maximum(1, np.diff(offsets))
-    total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
+    total = lambda mask: per_text(mask, offsets)
     upper = total((data >= 65) & (data <= 90))
     letters = np.maximum(1, total(LETTER[data]))
     shout = np.where(upper / letters > 0.5, 1, np.where(upper / letters < 0.1, 0, -1))

@@ -10,8 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Conditional mutual information (nats) from which two voters depend on one another.
-LINK = 0.002
+#: Share of a voter's entropy that another one must explain beyond the class for the two to be linked.
+LINK = 0.3
 
 
 def _index(votes: np.ndarray) -> np.ndarray:
@@ -65,22 +65,27 @@ def labelled_beliefs(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.clip(out / out.sum(axis=1, keepdims=True), 1e-4, 1)
 
 
-def dependence_tree(index: np.ndarray, p: np.ndarray, number: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Parent of each voter in the forest of most mutual information given the class; -1 for roots and voters not ``free``."""
+def dependence_tree(index: np.ndarray, believed: np.ndarray, prior: float, number: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Parent of each voter in the forest of strongest dependences; -1 for roots and voters not ``free``.
+
+    Two voters depend on one another as far as their joint votes diverge from what the
+    believed tables imply for voters that are independent given the class. No estimate
+    of the class enters, for near-copies of one voter would have decided it already.
+    """
     n, m = index.shape
     total = float(number.sum())
     shared = np.zeros((m, m))
     chosen = [(index == v).astype(np.float32) for v in range(3)]
-    for q in (p * number, (1 - p) * number):
-        mass = max(float(q.sum()), 1e-9)
-        weighted = [c * q[:, None].astype(np.float32) for c in chosen]
-        alone = [w.sum(axis=0).astype(float) / mass for w in weighted]
-        for a in range(3):
-            for b in range(3):
-                both = (weighted[a].T @ chosen[b]).astype(float) / mass
-                apart = alone[a][:, None] * alone[b][None, :]
-                sure = (both > 0) & (apart > 0)
-                shared += mass / total * np.where(sure, both * np.log(np.where(sure, both, 1) / np.where(sure, apart, 1)), 0.0)
+    for a in range(3):
+        weighted = (chosen[a] * number[:, None].astype(np.float32)).T
+        for b in range(3):
+            both = (weighted @ chosen[b]).astype(float) / total
+            apart = prior * np.outer(believed[:, a, 1], believed[:, b, 1]) + (1 - prior) * np.outer(believed[:, a, 0], believed[:, b, 0])
+            shared += np.where(both > 0, both * np.log(np.where(both > 0, both, 1) / apart), 0.0)
+    often = np.stack([number @ c for c in chosen], axis=1) / total
+    entropy = -(often * np.log(np.maximum(often, 1e-12))).sum(axis=1)
+    shared -= 4 / (2 * total)  # what chance gives two voters of three votes
+    shared = np.maximum(shared, 0) / np.maximum(np.minimum.outer(entropy, entropy), 1e-9)
     shared[~free] = shared[:, ~free] = 0
     np.fill_diagonal(shared, 0)
     parent = np.full(m, -1)
@@ -103,11 +108,11 @@ def fit_label_model(votes: np.ndarray, prior: float, believed: np.ndarray, round
     """Expectation-maximisation for the accuracies and correlations of voters.
 
     ``believed`` (P(vote | class), as ``strength`` pseudo votes) decides which class is
-    which; ``number`` says how many texts voted as a row does. After some rounds with
-    independent voters the forest of their strongest dependences given the class is
-    found, and each voter's votes are modelled given its parent's: a near-copy of
-    another voter then adds next to nothing. Voters ``apart`` (such as the silence of
-    all others, which depends on them by definition) stay independent.
+    which; ``number`` says how many texts voted as a row does. Each voter's votes are
+    modelled given those of its parent in the forest of strongest dependences, whose
+    tables are estimated as well: a near-copy of another voter adds next to nothing.
+    Voters ``apart`` (such as the silence of all others, which depends on them by
+    definition) stay independent.
     """
     n, m = votes.shape
     number = np.ones(n) if number is None else number.astype(float)
@@ -116,13 +121,17 @@ def fit_label_model(votes: np.ndarray, prior: float, believed: np.ndarray, round
     free[list(apart)] = False
     believed = np.clip(believed, 1e-4, 1)
     independent = np.repeat(believed[:, :, None, :], 3, axis=2)
-    model = LabelModel(float(np.clip(prior, 1e-3, 1 - 1e-3)), independent, np.full(m, -1))
-    for turn in range(rounds):
+    prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
+    parent = dependence_tree(index, believed, prior, number, free)
+    of_parent = np.where(parent >= 0, index[:, np.maximum(parent, 0)], 0)
+    cell = ((np.arange(m) * 3 + index) * 3 + of_parent).ravel()
+    #: At the start a vote beside one of its parent's says nothing; where the parent abstains, what is believed.
+    together = np.bincount(cell, np.repeat(number, m), minlength=9 * m).reshape(m, 3, 3) + 0.01
+    given = np.repeat((together / together.sum(axis=1, keepdims=True))[..., None], 2, axis=3)
+    given[:, :, 2, :] = believed
+    model = LabelModel(prior, np.where((parent >= 0)[:, None, None, None], np.clip(given, 1e-4, 1), independent), parent)
+    for _ in range(rounds):
         p = model.posterior(votes)
-        if turn == 5:
-            model.parent = dependence_tree(index, p, number, free)
-        of_parent = np.where(model.parent >= 0, index[:, np.maximum(model.parent, 0)], 0)
-        cell = ((np.arange(m) * 3 + index) * 3 + of_parent).ravel()
         table = np.empty((m, 3, 3, 2))
         for y, q in ((1, p), (0, 1 - p)):
             counts = np.bincount(cell, np.repeat(q * number, m), minlength=9 * m).reshape(m, 3, 3)

@@ -115,6 +115,15 @@ def letters_only(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of marked bytes of each text."""
+    out = np.zeros(len(offsets) - 1, dtype=np.int64)
+    filled = offsets[:-1] < offsets[1:]
+    if filled.any():
+        out[filled] = np.add.reduceat(mask.view(np.uint8), offsets[:-1][filled], dtype=np.int64)
+    return out
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold at most ``limit`` bytes together."""
     if not batch.num_rows:
