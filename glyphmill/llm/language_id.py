@@ -14,8 +14,10 @@ weighted by their length.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; rows
 with null language are not learnt from; with no labelled row every text gets ``und``;
-repeated rows get equal results; empty tables give empty results; clashing added columns
-get a leading underscore.
+of equally likely languages the first by code point counts; equal texts and repeated rows
+get equal results; texts of any length are read to their last byte; empty tables give
+empty results; clashing added columns get a leading underscore. ``LANGS`` bounds the
+classes of the model: of more languages (a corrupt column) the rarest are not learnt.
 """
 
 from __future__ import annotations
