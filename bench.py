@@ -13,7 +13,7 @@ from glyphmill.queries import QUERIES
 
 HEADLINE = (
     "hybrid_top10", "bm25_or_topk", "bm25_fill", "knn_topk", "lexical_drill_down", "line_chunks", "token_overlap", "references_lines", "snapshot_diff", "ready_join",
-    "needs_index", "gc_orphans", "smart_cutoff", "variant_merge", "neighbor_expand", "interval_merge", "budget_pack", "nearest_definition", "watch_bursts",
+    "needs_index", "gc_orphans", "smart_cutoff", "variant_merge", "neighbor_expand", "interval_merge", "budget_pack", "nearest_definition", "watch_bursts", "breadcrumb_expand", "import_resolve", "syntax_chunks", "context_pack",
 )
 
 

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import BOUNDS, load_config
+from .config import BOUNDS, load_config, masked_secret
 from .operators import maintenance, render, rerank, symbols
 from .plans.context import context, lexical_hits, with_code
 from .plans.indexing import Project, ensure_indexed, project_of
@@ -118,15 +118,16 @@ def config(args: argparse.Namespace) -> str:
     """Lists, sets or checks settings."""
     own = _settings(args)
     if args.action == "set":
-        if args.name not in BOUNDS:
+        if args.name not in BOUNDS and not str(args.name).endswith("_key"):
             raise SystemExit(f"unknown setting {args.name}; known: {', '.join(sorted(BOUNDS))}")
-        own[args.name] = json.loads(args.value)
+        own[args.name] = args.value if args.name.endswith("_key") else json.loads(args.value)
         Path(args.settings).write_text(json.dumps(own, indent=2, sort_keys=True))
     if args.action == "validate":
         held = asdict(load_config(own))
-        wrong = [f"{k}: {v} becomes {held.get(k)}" for k, v in sorted(own.items()) if k not in BOUNDS or held[k] != v]
+        wrong = [f"{k}: {v} becomes {held.get(k)}" for k, v in sorted(own.items()) if not k.endswith("_key") and (k not in BOUNDS or held[k] != v)]
         return "\n".join(wrong) or "all settings are within bounds"
-    return json.dumps(asdict(load_config(own)), indent=2, sort_keys=True)
+    keys = {k: masked_secret(str(v)) for k, v in own.items() if k.endswith("_key")}
+    return json.dumps(asdict(load_config(own)) | keys, indent=2, sort_keys=True)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -63,3 +63,9 @@ def load_config(overrides: Mapping[str, object] | None = None, mode: str = "bala
         given, other = ("w_vec", "w_lex") if "w_vec" in values else ("w_lex", "w_vec")
         values[other] = round(1 - float(values[given]), 6)
     return replace(SearchConfig(), **values)
+
+
+def masked_secret(value: str) -> str:
+    """A secret as it may be shown: its first and last four characters, stars between; only stars if it is short (SC19)."""
+    ends = value[:4], value[-4:]
+    return "*" * len(value) if len(value) <= 8 else ("*" * (len(value) - 8)).join(ends)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import quote
 
@@ -65,11 +68,42 @@ def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
     return out
 
 
+#: Encodings of texts that are no UTF-8, by how likely they are where they fit.
+_WIDE, _NARROW = ("gb18030", "shift_jis", "euc_kr", "big5"), ("cp1252", "latin-1")
+
+
+def guessed(raw: bytes) -> str:
+    """Text of bytes that are no valid UTF-8: a wide encoding where high bytes come in pairs, a Western one otherwise."""
+    for start, codec in ((b"\xff\xfe\0\0", "utf-32-le"), (b"\0\0\xfe\xff", "utf-32-be")):
+        if raw.startswith(start):
+            return raw[4:].decode(codec, "replace")
+    high = np.frombuffer(raw, dtype=np.uint8) >= 0x80
+    paired = int((high[1:] & high[:-1]).sum())
+    for codec in (*(_WIDE if 2 * paired >= high.sum() else ()), *_NARROW):
+        try:
+            return raw.decode(codec)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode("utf-8", "replace")
+
+
 def decoded(content: Column) -> Column:
-    """Text of bytes by byte-order mark, UTF-8 otherwise."""
-    start = F.hex(F.substring(content, 1, 3))
+    """Text of bytes by byte-order mark, as UTF-8 where that is valid, by a guess otherwise.
+
+    Only bytes that are not valid reach Python.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def guess(raws: pd.Series) -> pd.Series:
+        return raws.map(lambda raw: None if raw is None else guessed(bytes(raw)))
+
+    start = F.hex(F.substring(content, 1, 4))
     rest = lambda n: F.substring(content, n + 1, 1 << 30)
-    return F.when(start == "EFBBBF", F.decode(rest(3), "UTF-8")).when(start.startswith("FFFE"), F.decode(rest(2), "UTF-16LE")).when(start.startswith("FEFF"), F.decode(rest(2), "UTF-16BE")).otherwise(F.decode(content, "UTF-8"))
+    wide = start.isin("FFFE0000", "0000FEFF")
+    marked = F.when(start.startswith("EFBBBF"), F.decode(rest(3), "UTF-8")).when(start.startswith("FFFE") & ~wide, F.decode(rest(2), "UTF-16LE")).when(start.startswith("FEFF"), F.decode(rest(2), "UTF-16BE"))
+    valid = F.is_valid_utf8(content.cast("string")) & ~wide
+    odd = marked.isNull() & ~valid
+    return F.coalesce(marked, F.when(valid, content.cast("string")), guess(F.when(odd, content)))
 
 
 def root_ignore(spark: SparkSession, root: str) -> list[str]:

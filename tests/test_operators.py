@@ -5,12 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.config import load_config
+from glyphmill.config import load_config, masked_secret
 from glyphmill.functions import text as tx
 from glyphmill.functions.query_text import ResultCache, query_variants, tokens_of, variants_of
 from glyphmill.operators import chunking, expansion, imports, maintenance, ranking, render, rerank, symbols
 from glyphmill.sources.catalog import Catalog
-from glyphmill.sources.corpus import compile_ignore, crawl, is_ignored
+from glyphmill.sources.corpus import compile_ignore, crawl, decoded, is_ignored
 from glyphmill.streaming.watch import watch
 
 
@@ -139,6 +139,17 @@ def test_crawl_and_catalog(spark, tmp_path):
     assert catalog.read("files").count() == 1 and catalog.clear("files") == 2 and catalog.read("files").count() == 0
 
 
+def test_decoding(spark):
+    texts = {"utf-8": "plain é", "utf-8-sig": "marked é", "utf-16": "wide é", "utf-32": "wider é", "gb18030": "数据库连接测试文本", "cp1252": "un été à la plage", "utf-16-be": None}
+    raw = [(name, bytearray(text.encode(name))) for name, text in texts.items() if text] + [("null", None), ("utf-16-be", bytearray(b"\xfe\xff" + "big é".encode("utf-16-be")))]
+    got = {r.n: r.t for r in spark.createDataFrame(raw, "n string, b binary").select("n", decoded(F.col("b")).alias("t")).collect()}
+    assert got == {**{k: v for k, v in texts.items() if v}, "utf-16-be": "big é", "null": None}
+
+
+def test_secrets_are_masked():
+    assert [masked_secret(x) for x in ("", "12345678", "abcd1234wxyz")] == ["", "********", "abcd****wxyz"]
+
+
 def test_watch_runs_once_over_what_is_there(spark, tmp_path):
     spark.createDataFrame([("p", 1), ("p", 2)], "project string, n int").write.parquet(str(tmp_path / "in"))
     seen = []
