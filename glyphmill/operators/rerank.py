@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,10 +109,14 @@ def embed(rows: DataFrame, text: str, name: str = "vector", dimensions: int = 64
 
     def hashed(texts: pd.Series) -> list[list[float]]:
         out = np.zeros((len(texts), dimensions), dtype=np.float32)
+        places: dict[str, tuple[int, int]] = {}
         for i, t in enumerate(texts):
-            for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dimensions] += 1 if h >> 63 else -1
+            for w, n in Counter((t or "").lower().split()).items():
+                if w not in places:
+                    h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                    places[w] = h % dimensions, 1 if h >> 63 else -1
+                at, sign = places[w]
+                out[i, at] += sign * n
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(size > 0, size, 1)).tolist()
 
