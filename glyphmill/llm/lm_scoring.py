@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import held_out, materialise, small_arrow_batches
+from .support import WIDE_ROWS, held_out, materialise, small_arrow_batches
 from .wordcols import Words, keep_freed_memory_low, lean, mix, release, slices, text_buffer
 
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -637,7 +637,7 @@ def score_all(rows: DataFrame) -> DataFrame:
     """Scores the asked rows of (doc_id, held_out, train, asked, text) under the model of the train rows."""
     spark = rows.sparkSession
     small_arrow_batches(spark)
-    table = materialise(rows.mapInArrow(lean(_batches), _BATCHES), "lm-tokens")
+    table = materialise(rows.mapInArrow(lean(_batches), _BATCHES), "lm-tokens", WIDE_ROWS)
     size = int(table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).collect()[0][0])
     rounds = ROUNDS if size > SHARD else 1
     plan = Plan(rounds * max(1, -(-size // (rounds * SHARD))), rounds)

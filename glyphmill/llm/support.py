@@ -36,7 +36,12 @@ def small_arrow_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Parquet options for rows of megabytes: sizes are looked at after every row, not after a hundred, so pages and row
+#: groups, which readers and writers hold whole in several copies, are of a few rows.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(4 << 20), "parquet.enable.dictionary": "false"}
+
+
+def materialise(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns a scan of it.
 
     This cuts the lineage at a table that survives the loss of any executor. The
@@ -44,7 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

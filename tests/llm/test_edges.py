@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,23 @@ def test_elias_fano_round_trip():
         assert code.find(asked).tolist() == [where.get(int(x), -1) for x in asked]
 
 
+def test_lm_batches_of_megabytes_get_small_row_groups(spark, monkeypatch):
+    """Readers and writers hold a row group in several copies, so it may not be all the wide rows of a file."""
+    tables, real = [], lm_scoring.materialise
+
+    def first(df, *more):
+        tables.append(real(df, *more))
+        raise StopIteration
+
+    monkeypatch.setattr(lm_scoring, "materialise", first)
+    text = " ".join(map(str, np.random.default_rng(3).integers(0, 10**9, 3 * lm_scoring.BATCH - 10).tolist()))
+    with pytest.raises(StopIteration):
+        lm_scoring.score_all(spark.createDataFrame([(1, False, True, True, text)], "doc_id long, held_out boolean, train boolean, asked boolean, text string").coalesce(1))
+    about = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in tables[0].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in about for i in range(m.num_row_groups)]
+    assert groups == [1, 1, 1]
+
+
 def test_trie_probabilities_sum_to_one():
     counts = np.array([50, 30, 20, 10], dtype=np.int64)
     hashes = np.array([7, 3, 9, 5], dtype=np.uint64)
