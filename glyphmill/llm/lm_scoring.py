@@ -78,9 +78,12 @@ class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary, with sampled ranks for select."""
 
     SAMPLE = 64
+    #: Values that are searched at once, and number of searches from which bucket ends are decoded first.
+    CHUNK, MANY = 1 << 16, 1 << 10
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
         self.n, self.width, self.low, self.high, self.ones, self.zeros = n, width, low, high, ones, zeros
+        self._ends: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -132,13 +135,21 @@ class EliasFano:
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """Index of each value by successor search, or -1 where it is absent."""
-        out = np.full(len(value), -1, dtype=np.int64)
         if not self.n or not len(value):
-            return out
+            return np.full(len(value), -1, dtype=np.int64)
+        if self._ends is None and len(value) >= self.MANY:
+            self._ends = self._bucket_ends()
+        if len(value) > self.CHUNK:
+            return np.concatenate([self.find(value[at : at + self.CHUNK]) for at in range(0, len(value), self.CHUNK)])
+        out = np.full(len(value), -1, dtype=np.int64)
         top = (value.astype(np.uint64) >> np.uint64(self.width)).astype(np.int64)
         low = value.astype(np.uint64) & np.uint64((1 << self.width) - 1)
-        first = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) + 1, 0) - top
-        last = self._select(top, False) - top
+        if self._ends is None:
+            first = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) + 1, 0) - top
+            last = self._select(top, False) - top
+        else:
+            first = self._ends[np.minimum(top, len(self._ends) - 1)].astype(np.int64)
+            last = self._ends[np.minimum(top + 1, len(self._ends) - 1)].astype(np.int64)
         lo, hi = first.copy(), last.copy()
         active = np.flatnonzero(lo < hi)
         while len(active):
@@ -152,6 +163,12 @@ class EliasFano:
         out[hit] = lo[hit]
         return out
 
+    def _bucket_ends(self) -> np.ndarray:
+        """Where the values below each high part end: what selecting every zero bit gives, 0 before the first."""
+        zeros = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little") == 0)
+        zeros -= np.arange(len(zeros))
+        return np.concatenate([[0], np.minimum(zeros, self.n)]).astype(np.int32 if self.n < 1 << 31 else np.int64)
+
     def values(self) -> np.ndarray:
         """The whole sequence."""
         bits = np.unpackbits(self.high.view(np.uint8), bitorder="little")
@@ -176,12 +193,114 @@ def quantise(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- the trie ----------------------------------------------------------------------
 
+_DTYPES = {"u8": np.uint64, "i8": np.int64, "f8": np.float64, "u1": np.uint8, "u2": np.uint16, "u4": np.uint32}
+
+
+def _file_of(arrays: list[np.ndarray]) -> bytes:
+    head, body, at = [], [], 0
+    for a in arrays:
+        code = next(k for k, t in _DTYPES.items() if t == a.dtype)
+        raw = np.ascontiguousarray(a).tobytes()
+        raw += b"\0" * (-len(raw) % 8)
+        head.append(f"{code}:{len(a)}:{at}")
+        body.append(raw)
+        at += len(raw)
+    text = ",".join(head).encode()
+    return len(text).to_bytes(8, "little") + text + b"\0" * (-len(text) % 8) + b"".join(body)
+
+
+def _mapped(raw: bytes) -> list[np.ndarray]:
+    """The arrays of ``_file_of``, mapped from an unlinked temporary file, so that their pages can be dropped and re-read."""
+    with tempfile.TemporaryFile() as f:
+        f.write(raw)
+        f.flush()
+        view = np.asarray(np.memmap(f, dtype=np.uint8, mode="r"))
+    size = int.from_bytes(view[:8].tobytes(), "little")
+    base = 8 + size + (-size % 8)
+    arrays = []
+    for item in view[8 : 8 + size].tobytes().decode().split(","):
+        code, n, at = item.split(":")
+        kind = np.dtype(_DTYPES[code])
+        arrays.append(view[base + int(at) : base + int(at) + int(n) * kind.itemsize].view(kind))
+    return arrays
+
+
+class ShardTrie:
+    """Levels of a shard: Elias-Fano sequences, and columns of counts quantised without loss.
+
+    A count is a code of one byte (more where a shard has more than 256 distinct counts) into
+    the column's table of its distinct counts. Everything is searched where it is mapped.
+    """
+
+    def __init__(self, arrays: list[np.ndarray]):
+        n = int(arrays[0][0])
+        self.levels = [EliasFano.load(arrays[1 + 5 * i : 6 + 5 * i]) for i in range(n)]
+        self.tables, self.codes = arrays[1 + 5 * n :: 2], arrays[2 + 5 * n :: 2]
+
+    @classmethod
+    def of(cls, levels: list[EliasFano], columns: list[np.ndarray]) -> ShardTrie:
+        arrays = [np.array([len(levels)], dtype=np.int64), *(a for x in levels for a in x.parts())]
+        for counts in columns:
+            table, code = np.unique(counts, return_inverse=True)
+            arrays += [table.astype(np.int64), code.astype(np.uint8 if len(table) <= 1 << 8 else np.uint16 if len(table) <= 1 << 16 else np.uint32)]
+        return cls(_mapped(_file_of(arrays)))
+
+    @classmethod
+    def of_words(cls, keys: np.ndarray, counts: np.ndarray, successors: np.ndarray) -> ShardTrie:
+        """One level: words with their counts and numbers of distinct successors, added up over all occurrences."""
+        words, total, _ = _added(keys, counts)
+        level = _level(words)
+        after = np.flatnonzero(successors)
+        return cls.of([level], [total, np.bincount(level.find(keys[after]), successors[after], minlength=len(words)).astype(np.int64)])
+
+    @classmethod
+    def of_pairs(cls, keys: np.ndarray, counts: np.ndarray, lead: np.ndarray, last: np.ndarray, times: np.ndarray) -> tuple[ShardTrie, np.ndarray]:
+        """Pairs, pointers from each to its triples, and triples; ``lead`` is the occurrence in ``keys`` of a triple's pair.
+
+        Also gives an occurrence of each pair of the trie.
+        """
+        pairs, total, where = _added(keys, counts)
+        level = _level(pairs)
+        some = np.flatnonzero(times)
+        triples, below, _ = _added((level.find(keys[lead[some]]) << _LAST) | last[some], times[some])
+        begins = np.searchsorted(triples, np.arange(len(pairs) + 1) << _LAST)
+        return cls.of([level, EliasFano.of(begins, len(triples)), _level(triples)], [total, below]), where
+
+    def column(self, which: int, place: np.ndarray) -> np.ndarray:
+        """Counts at these places of a level, 0 at -1."""
+        out = np.zeros(len(place), dtype=np.int64)
+        hit = np.flatnonzero(place >= 0)
+        out[hit] = self.tables[which][self.codes[which][place[hit]]]
+        return out
+
+    def triples_at(self, place: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Place of each triple by that of its pair, -1 where either is absent."""
+        out = np.full(len(place), -1, dtype=np.int64)
+        hit = np.flatnonzero(place >= 0)
+        out[hit] = self.levels[2].find((place[hit] << _LAST) | last[hit])
+        return out
+
+    def successors(self, place: np.ndarray) -> np.ndarray:
+        """Distinct successors of pairs, by their pointers."""
+        return np.append(np.diff(self.levels[1].values()), 0)[place]
+
+
+def _level(keys: np.ndarray) -> EliasFano:
+    return EliasFano.of(keys, int(keys[-1]) + 1 if len(keys) else 1)
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys that have a count, ascending, with their counts added up and an occurrence of each."""
+    some = np.flatnonzero(counts)
+    some = some[np.argsort(keys[some], kind="stable")]
+    found = keys[some]
+    begin = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+    return found[begin], np.add.reduceat(counts[some], begin) if len(begin) else np.zeros(0, dtype=np.int64), some[begin]
+
 
 class Trie:
     """Head words with exact counts, and two Elias-Fano levels with quantised terms and back-off masses."""
 
-    _DTYPES = {"u8": np.uint64, "i8": np.int64, "f8": np.float64, "u1": np.uint8}
-
     def __init__(self, arrays: list[np.ndarray]):
         self.arrays = arrays
         (self.hashes, self.counts, self.ids, self.scale, self.back1, self.term2, self.back2, self.term3) = arrays[:8]
@@ -233,32 +352,11 @@ class Trie:
         return cls(arrays + [a for x in levels for a in x.parts()])
 
     def to_bytes(self) -> bytes:
-        head, body, at = [], [], 0
-        for a in self.arrays:
-            code = next(k for k, t in self._DTYPES.items() if t == a.dtype)
-            raw = np.ascontiguousarray(a).tobytes()
-            raw += b"\0" * (-len(raw) % 8)
-            head.append(f"{code}:{len(a)}:{at}")
-            body.append(raw)
-            at += len(raw)
-        text = ",".join(head).encode()
-        return len(text).to_bytes(8, "little") + text + b"\0" * (-len(text) % 8) + b"".join(body)
+        return _file_of(self.arrays)
 
     @classmethod
     def map_bytes(cls, raw: bytes) -> Trie:
-        """Maps the model from an unlinked temporary file, so that its pages can be dropped and re-read."""
-        with tempfile.TemporaryFile() as f:
-            f.write(raw)
-            f.flush()
-            view = np.memmap(f, dtype=np.uint8, mode="r")
-        size = int.from_bytes(view[:8].tobytes(), "little")
-        base = 8 + size + (-size % 8)
-        arrays = []
-        for item in view[8 : 8 + size].tobytes().decode().split(","):
-            code, n, at = item.split(":")
-            kind = np.dtype(cls._DTYPES[code])
-            arrays.append(view[base + int(at) : base + int(at) + int(n) * kind.itemsize].view(kind))
-        return cls(arrays)
+        return cls(_mapped(raw))
 
     def _value(self, codes: np.ndarray, index: np.ndarray, which: int) -> np.ndarray:
         low, step = self.scale[2 * which : 2 * which + 2]
@@ -339,7 +437,7 @@ def _numbers(raw: bytes) -> np.ndarray:
 
 def _coded(keys: np.ndarray) -> bytes:
     """Elias-Fano code of a monotone sequence."""
-    code = EliasFano.of(keys, int(keys[-1]) + 1 if len(keys) else 1)
+    code = _level(keys)
     return np.array([code.n, code.width, len(code.low)], dtype=np.int64).tobytes() + code.low.tobytes() + code.high.tobytes()
 
 
@@ -495,36 +593,36 @@ def _sender(plan: Plan, turn: int) -> Callable:
     return send
 
 
+def _joined(rows: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([_numbers(r[name]) for r in rows])
+
+
 def _settle(plan: Plan) -> Callable:
-    """Adds up the tries of a shard; answers each asking batch; sends the numbers of successors of words on."""
+    """Merges the tries of a shard to one; answers each asking batch from it; sends the numbers of successors of words on."""
 
     def settle(shard: pa.Table) -> pa.Table:
-        rows = shard.to_pylist()
-        keys = [_decoded(r["keys"]) for r in rows]
-        ends = np.cumsum([len(k) for k in keys])
-        pairs, index, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        counts = np.bincount(place, np.concatenate([_numbers(r["counts"]) for r in rows]), minlength=len(pairs)).astype(np.int64)
-        firsts = np.concatenate([_decoded(r["firsts"])[_numbers(r["first"])] for r in rows])[index]
-        below = []
-        for r, end, k in zip(rows, ends, keys, strict=True):
-            t = _decoded(r["below"])
-            below.append((place[end - len(k) + (t >> _LAST)] << _LAST) | (t & ((1 << _LAST) - 1)))
-        triples, under = np.unique(np.concatenate(below), return_inverse=True)
-        times = np.bincount(under, np.concatenate([_numbers(r["below_counts"]) for r in rows]), minlength=len(triples)).astype(np.int64)
-        successors = np.bincount(triples[times > 0] >> _LAST, minlength=len(pairs))
-        out, number, at = [], rows[0]["shard"], 0
-        for r, end, k, t in zip(rows, ends, keys, below, strict=True):
-            if r["asked"]:
-                own, lower = place[end - len(k) : end], under[at : at + len(t)]
-                out.append(("answer", r["batch"], number, _bytes(counts[own]), _bytes(successors[own]), _bytes(times[lower]), 0, 0, 0, 0))
-            at += len(t)
-        words, n = np.unique(firsts[counts > 0], return_counts=True)
+        rows = sorted(shard.to_pylist(), key=lambda r: not r["asked"])
+        keys, below = [_decoded(r["keys"]) for r in rows], [_decoded(r["below"]) for r in rows]
+        bounds, cuts = (np.cumsum([0, *map(len, x)]) for x in (keys, below))
+        lead = np.concatenate([(t >> _LAST) + at for t, at in zip(below, bounds.tolist(), strict=False)])
+        keys, last = np.concatenate(keys), np.concatenate(below) & ((1 << _LAST) - 1)
+        trie, where = ShardTrie.of_pairs(keys, _joined(rows, "counts"), lead, last, _joined(rows, "below_counts"))
+        out, number, asking = [], rows[0]["shard"], sum(r["asked"] for r in rows)
+        place = trie.levels[0].find(keys[: bounds[asking]])
+        lower = cuts[asking]
+        answers = trie.column(0, place), trie.successors(place), trie.column(1, trie.triples_at(place[lead[:lower]], last[:lower]))
+        for i, r in enumerate(rows[:asking]):
+            own, under = slice(*bounds[i : i + 2]), slice(*cuts[i : i + 2])
+            out.append(("answer", r["batch"], number, _bytes(answers[0][own]), _bytes(answers[1][own]), _bytes(answers[2][under]), 0, 0, 0, 0))
+        firsts = np.concatenate([_decoded(r["firsts"])[_numbers(r["first"])] for r in rows])
+        words, n = np.unique(firsts[where], return_counts=True)
         homes = plan.homes
         order, cuts = _by_shard(words, homes)
         words, n = words[order], n[order]
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             out.append(("words", s, number, _coded(words[cuts[s] : cuts[s + 1]] // homes), _bytes(n[cuts[s] : cuts[s + 1]]), None, 0, 0, 0, 0))
-        out.append(("sums", 0, number, None, None, None, *[int((x == c).sum()) for x in (counts, times) for c in (1, 2)]))
+        whole = [table[code] for table, code in zip(trie.tables, trie.codes, strict=True)]
+        out.append(("sums", 0, number, None, None, None, *[int((x == c).sum()) for x in whole for c in (1, 2)]))
         return _as_table(_SETTLED, out)
 
     return settle
@@ -558,18 +656,17 @@ def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _settle_words(shard: pa.Table) -> pa.Table:
-    rows = shard.to_pylist()
+    rows = sorted(shard.to_pylist(), key=lambda r: not r["asked"])
     keys = [_decoded(r["keys"]) for r in rows]
-    ends = np.cumsum([len(k) for k in keys])
-    words, place = np.unique(np.concatenate(keys), return_inverse=True)
-    of = lambda name: np.bincount(place, np.concatenate([_numbers(r[name]) if r[name] is not None else np.zeros(len(k), dtype=np.int64) for r, k in zip(rows, keys, strict=True)]), minlength=len(words)).astype(np.int64)
-    counts, successors = of("counts"), of("successors")
-    out, number = [], rows[0]["shard"]
-    for r, end, k in zip(rows, ends, keys, strict=True):
-        if r["asked"]:
-            own = place[end - len(k) : end]
-            out.append(("word", r["batch"], number, _bytes(counts[own]), _bytes(successors[own]), None, 0, 0, 0, 0))
-    out.append(("total", 0, number, None, None, None, int(counts.sum()), int((counts > 0).sum()), 0, 0))
+    bounds = np.cumsum([0, *map(len, keys)])
+    of = lambda name: np.concatenate([_numbers(r[name]) if r[name] is not None else np.zeros(len(k), dtype=np.int64) for r, k in zip(rows, keys, strict=True)])
+    trie = ShardTrie.of_words(np.concatenate(keys), of("counts"), of("successors"))
+    out, number, asking = [], rows[0]["shard"], sum(r["asked"] for r in rows)
+    for i in range(asking):
+        place = trie.levels[0].find(keys[i])
+        out.append(("word", rows[i]["batch"], number, _bytes(trie.column(0, place)), _bytes(trie.column(1, place)), None, 0, 0, 0, 0))
+    counts = trie.tables[0][trie.codes[0]]
+    out.append(("total", 0, number, None, None, None, int(counts.sum()), len(counts), 0, 0))
     return _as_table(_SETTLED, out)
 
 

@@ -226,6 +226,45 @@ def test_elias_fano_round_trip():
         assert code.find(asked).tolist() == [where.get(int(x), -1) for x in asked]
 
 
+def test_lm_shards_answer_from_a_mapped_trie(monkeypatch):
+    """A shard's counts come from Elias-Fano levels that are mapped and searched, also where batches ask for unknown pairs."""
+    rng = np.random.default_rng(2)
+    plan, last = lm_scoring.Plan(1, 1), lm_scoring._LAST
+    mapped, mapping = [], lm_scoring._mapped
+    monkeypatch.setattr(lm_scoring, "_mapped", lambda raw: mapped.append(mapping(raw)) or mapped[-1])
+    rows, sums, under = [], {}, {}
+    for batch in range(6):
+        keys = np.unique(rng.integers(0, 3000, 800)) << 40
+        counts = rng.integers(0, 400, len(keys)) * (rng.random(len(keys)) < 0.6)
+        lead = np.sort(rng.integers(0, len(keys), 900))
+        lead = lead[counts[lead] > 0]
+        triples = np.unique((lead << last) | rng.integers(0, 20, len(lead)))
+        times = rng.integers(0, 3, len(triples))
+        for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
+            sums[k] = sums.get(k, 0) + c
+        for t, c in zip(triples.tolist(), times.tolist(), strict=True):
+            at = int(keys[t >> last]), t & ((1 << last) - 1)
+            under[at] = under.get(at, 0) + c
+        wire = (lm_scoring._coded(keys), lm_scoring._bytes(counts), lm_scoring._coded(np.array([1])), lm_scoring._bytes(np.zeros(len(keys), dtype=np.int64)), lm_scoring._coded(triples), lm_scoring._bytes(times))
+        rows.append((keys, triples, (0, batch, batch < 4, *wire)))
+    got = lm_scoring._settle(plan)(lm_scoring._as_table(lm_scoring._WIRE, [r[2] for r in rows])).to_pylist()
+    answers = {r["place"]: r for r in got if r["kind"] == "answer"}
+    assert sorted(answers) == [0, 1, 2, 3]
+    for batch, a in answers.items():
+        keys, triples, _ = rows[batch]
+        assert lm_scoring._numbers(a["first"]).tolist() == [sums[k] for k in keys.tolist()]
+        assert lm_scoring._numbers(a["second"]).tolist() == [sum(c > 0 for (pair, _), c in under.items() if pair == k) for k in keys.tolist()]
+        assert lm_scoring._numbers(a["third"]).tolist() == [under[int(keys[t >> last]), t & ((1 << last) - 1)] for t in triples.tolist()]
+    ones = next(r for r in got if r["kind"] == "sums")
+    assert [ones[x] for x in ("n1", "n2", "m1", "m2")] == [sum(c == k for c in of.values()) for of in (sums, under) for k in (1, 2)]
+    assert len(mapped) == 1
+    trie = lm_scoring.ShardTrie(mapped[0])
+    assert trie.levels[0].n == sum(c > 0 for c in sums.values()) and trie.levels[2].n == sum(c > 0 for c in under.values())
+    assert trie.codes[1].dtype == np.uint8 and trie.codes[0].dtype == np.uint16
+    asked = np.array(sorted(sums) * 3)
+    assert trie.levels[0].find(asked).tolist() == [trie.levels[0].find(asked[i : i + 1])[0] for i in range(len(asked))]
+
+
 def test_lm_batches_of_megabytes_get_small_row_groups(spark, monkeypatch):
     """Readers and writers hold a row group in several copies, so it may not be all the wide rows of a file."""
     tables, real = [], lm_scoring.materialise
