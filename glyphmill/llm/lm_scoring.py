@@ -6,10 +6,12 @@ the training texts is counted, whatever its words' frequency; nothing is pruned:
 1. texts become batches of token hashes, written once to the shared folder; a longer text
    is cut into pieces that repeat the two tokens before them, and its scores are added up;
 2. each batch sends, by the hash of the context, an Elias-Fano trie of its pairs and of
-   the triples below them to ``shards``, whose number grows with the corpus; a shard adds
-   the counts up and sends back those that the batch asks for. This runs in ``ROUNDS``
-   rounds over disjoint shards, which bounds the disk that is held at once;
-3. words meet their counts and numbers of distinct successors the same way;
+   the triples below them to ``shards``, whose number grows with the corpus; a shard merges
+   these to one trie (``ShardTrie``: Elias-Fano levels of pairs and triples, Elias-Fano
+   pointers between them, counts quantised without loss), maps it from a file, and answers
+   what the batch asks for by search in its levels. This runs in ``ROUNDS`` rounds over
+   disjoint shards, which bounds the disk that is held at once;
+3. words meet their counts and numbers of distinct successors in tries of one level;
 4. each batch meets its answers and is scored, in ``ROUNDS`` rounds as well.
 
 A pair is keyed by a 62-bit hash; a triple by the place of its first two words among the
@@ -17,7 +19,8 @@ pairs of its shard and a 40-bit hash of its third word (context-relative). Proba
 are interpolated absolute discounting with exact counts: ``P(w|h) = max(c(hw) - D, 0) /
 c(h) + D T(h) / c(h) P(w|h')`` where ``T(h)`` is the number of distinct successors, so every
 context sums to 1; an unseen context leaves ``P(w|h')``; the lowest order is add-one over
-all words, which is the base. ``Trie`` is the form for one machine, with quantised terms.
+all words, which is the base. Discounts are known once all shards are, so shards keep
+counts and batches smooth them. ``Trie`` is the form for one machine, with quantised terms.
 
 Defined results: null texts are empty and consist of their end; an empty training set
 gives N = 0, V = 0 and base log10(1 / 1) = 0 per token; rows of one id are scored one by
@@ -28,6 +31,7 @@ results.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -47,6 +51,8 @@ BATCH, SHARD = 500_000, 600_000
 #: A power of two. Words have fewer shards than pairs, for a shard of pairs sends counts to all of them.
 ROUNDS, PAIRS_A_WORD = 8, 4
 _QUANTA = 255
+#: Freed bytes that a Python worker keeps within a partition or group.
+ROOM = 32 << 20
 
 
 # --- Elias-Fano --------------------------------------------------------------------
@@ -87,20 +93,24 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
+        width, low, high, place = cls.code(values, universe)
+        zeros = np.flatnonzero(np.unpackbits(high.view(np.uint8), bitorder="little")[:-64] == 0)[:: cls.SAMPLE]
+        return cls(len(values), width, low, high, place[:: cls.SAMPLE].astype(np.int64), zeros.astype(np.int64))
+
+    @classmethod
+    def code(cls, values: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Width of the low bits, low bits, high bits, and the positions of the one bits in these."""
         n = len(values)
         width = max(0, int(np.floor(np.log2(max(1, universe) / max(1, n))))) if n else 0
         values = values.astype(np.uint64)
         top = (values >> np.uint64(width)).astype(np.int64)
         buckets = (int(universe) >> width) + 1
-        bits = np.zeros(n + buckets + 1, dtype=np.uint8)
+        size = n + buckets + 1
+        bits = np.zeros(-(-size // 64) * 64 + 64, dtype=np.uint8)
         place = top + np.arange(n)
         bits[place] = 1
-        padded = np.zeros(-(-len(bits) // 64) * 64, dtype=np.uint8)
-        padded[: len(bits)] = bits
-        padded[len(bits) :] = 1
-        high = np.packbits(padded, bitorder="little").view(np.uint64)
-        zeros = np.flatnonzero(padded == 0)[:: cls.SAMPLE]
-        return cls(n, width, _pack(values & np.uint64((1 << width) - 1), width), np.append(high, np.uint64(0)), place[:: cls.SAMPLE].astype(np.int64), zeros.astype(np.int64))
+        bits[size:-64] = 1
+        return width, _pack(values & np.uint64((1 << width) - 1), width), np.packbits(bits, bitorder="little").view(np.uint64), place
 
     def _select(self, rank: np.ndarray, one: bool) -> np.ndarray:
         """Bit positions of the one or zero bits of these ranks."""
@@ -241,7 +251,12 @@ class ShardTrie:
     def of(cls, levels: list[EliasFano], columns: list[np.ndarray]) -> ShardTrie:
         arrays = [np.array([len(levels)], dtype=np.int64), *(a for x in levels for a in x.parts())]
         for counts in columns:
-            table, code = np.unique(counts, return_inverse=True)
+            if len(counts) and int(counts.max()) < 1 << 20:
+                seen = np.zeros(int(counts.max()) + 1, dtype=bool)
+                seen[counts] = True
+                table, code = np.flatnonzero(seen), (np.cumsum(seen) - 1)[counts]
+            else:
+                table, code = np.unique(counts, return_inverse=True)
             arrays += [table.astype(np.int64), code.astype(np.uint8 if len(table) <= 1 << 8 else np.uint16 if len(table) <= 1 << 16 else np.uint32)]
         return cls(_mapped(_file_of(arrays)))
 
@@ -254,17 +269,17 @@ class ShardTrie:
         return cls.of([level], [total, np.bincount(level.find(keys[after]), successors[after], minlength=len(words)).astype(np.int64)])
 
     @classmethod
-    def of_pairs(cls, keys: np.ndarray, counts: np.ndarray, lead: np.ndarray, last: np.ndarray, times: np.ndarray) -> tuple[ShardTrie, np.ndarray]:
+    def of_pairs(cls, keys: np.ndarray, counts: np.ndarray, lead: np.ndarray, last: np.ndarray, times: np.ndarray) -> tuple[ShardTrie, np.ndarray, np.ndarray]:
         """Pairs, pointers from each to its triples, and triples; ``lead`` is the occurrence in ``keys`` of a triple's pair.
 
-        Also gives an occurrence of each pair of the trie.
+        Also gives the place that the search finds for each of ``keys`` (-1: absent), and an occurrence of each pair of the trie.
         """
         pairs, total, where = _added(keys, counts)
         level = _level(pairs)
-        some = np.flatnonzero(times)
-        triples, below, _ = _added((level.find(keys[lead[some]]) << _LAST) | last[some], times[some])
+        place, some = level.find(keys), np.flatnonzero(times)
+        triples, below, _ = _added((place[lead[some]] << _LAST) | last[some], times[some])
         begins = np.searchsorted(triples, np.arange(len(pairs) + 1) << _LAST)
-        return cls.of([level, EliasFano.of(begins, len(triples)), _level(triples)], [total, below]), where
+        return cls.of([level, EliasFano.of(begins, len(triples)), _level(triples)], [total, below]), place, where
 
     def column(self, which: int, place: np.ndarray) -> np.ndarray:
         """Counts at these places of a level, 0 at -1."""
@@ -292,12 +307,22 @@ def _level(keys: np.ndarray) -> EliasFano:
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys that have a count, ascending, with their counts added up and an occurrence of each."""
     some = np.flatnonzero(counts)
-    some = some[np.argsort(keys[some], kind="stable")]
+    some = some[np.argsort(keys[some])]
     found = keys[some]
     begin = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
     return found[begin], np.add.reduceat(counts[some], begin) if len(begin) else np.zeros(0, dtype=np.int64), some[begin]
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, an occurrence of each, and the place of every key among them."""
+    order = np.argsort(keys)
+    found = keys[order]
+    fresh = np.append(True, found[1:] != found[:-1])[: len(found)]
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return found[fresh], order[fresh], place
+
+
 class Trie:
     """Head words with exact counts, and two Elias-Fano levels with quantised terms and back-off masses."""
 
@@ -437,8 +462,8 @@ def _numbers(raw: bytes) -> np.ndarray:
 
 def _coded(keys: np.ndarray) -> bytes:
     """Elias-Fano code of a monotone sequence."""
-    code = _level(keys)
-    return np.array([code.n, code.width, len(code.low)], dtype=np.int64).tobytes() + code.low.tobytes() + code.high.tobytes()
+    width, low, high, _ = EliasFano.code(keys, int(keys[-1]) + 1 if len(keys) else 1)
+    return np.array([len(keys), width, len(low)], dtype=np.int64).tobytes() + low.tobytes() + high.tobytes()
 
 
 def _decoded(raw: bytes) -> np.ndarray:
@@ -523,12 +548,16 @@ class Plan:
         """Round of a pair: its first bits."""
         return pairs >> self._shift
 
-    def shard(self, pairs: np.ndarray) -> np.ndarray:
-        return self.turn(pairs) * (self.shards // self.rounds) + pairs % (self.shards // self.rounds)
+    @property
+    def room(self) -> int:
+        """Numbers that tell the pairs of one shard apart."""
+        return (1 << self._shift) // (self.shards // self.rounds) + 1
 
-    def within(self, pairs: np.ndarray) -> np.ndarray:
-        """What tells the pairs of one shard apart, in the same order."""
-        return (pairs & ((1 << self._shift) - 1)) // (self.shards // self.rounds)
+    def key(self, pairs: np.ndarray) -> np.ndarray:
+        """Shard of a pair times ``room``, plus what tells it apart there."""
+        own = self.shards // self.rounds
+        within, shard = np.divmod(pairs & ((1 << self._shift) - 1), own)
+        return (self.turn(pairs) * own + shard) * self.room + within
 
 
 class _Batch:
@@ -539,37 +568,35 @@ class _Batch:
         self.words = np.frombuffer(row["words"], dtype=np.uint64)
         self.ids = _numbers(row["ids"])
         self.length = self.texts.column("n_tokens").to_numpy()
-        self.text = np.repeat(np.arange(len(self.length)), self.length)
+        self.ends = np.cumsum(self.length)
         #: Tokens that are the batch's own, and those of them that are learnt from.
-        place = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
-        self.own = place >= self.texts.column("before").to_numpy()[self.text]
-        self.train = self.texts.column("train").to_numpy().astype(bool)[self.text] & self.own
+        self.own = np.ones(len(self.ids), dtype=bool)
+        before = self.texts.column("before").to_numpy()
+        for i in np.flatnonzero(before).tolist():
+            begin = self.ends[i] - self.length[i]
+            self.own[begin : begin + before[i]] = False
+        self.train = np.repeat(self.texts.column("train").to_numpy().astype(bool), self.length) & self.own
         self.word_keys = (self.words >> np.uint64(64 - _KEY)).astype(np.int64)
         self.plan, self.turn = plan, turn
 
     def ngrams(self) -> None:
-        same = self.text[1:] == self.text[:-1]
-        hashes = self.words[self.ids]
-        #: Pairs by the position of their second word.
-        self.pair_at = np.flatnonzero(same) + 1
-        keys = (mix(hashes[self.pair_at - 1] * _A + hashes[self.pair_at]) >> np.uint64(64 - _KEY)).astype(np.int64)
-        if self.turn is not None:
-            keep = np.flatnonzero(self.plan.turn(keys) == self.turn)
-            keys, self.pair_at = keys[keep], self.pair_at[keep]
-        self.pairs, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        self.shard = self.plan.shard(self.pairs)
-        order = np.argsort(self.shard, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        self.pairs, self.shard, self.pair = self.pairs[order], self.shard[order], rank[place]
-        self.firsts = self.word_keys[self.ids[self.pair_at[first[order]] - 1]]
+        same = np.ones(max(0, len(self.ids) - 1), dtype=bool)
+        same[self.ends[:-1] - 1] = False
+        keys = (self.words * _A)[self.ids[:-1]]
+        keys += self.words[self.ids[1:]]
+        keys = (mix(keys) >> np.uint64(64 - _KEY)).view(np.int64)
+        #: Pairs by the position of their second word; distinct ones in order of shard.
+        at = np.flatnonzero(same if self.turn is None else same & (self.plan.turn(keys) == self.turn))
+        self.pair_at = at + 1
+        self.pairs, first, self.pair = _distinct(self.plan.key(keys[at]))
+        self.firsts = self.word_keys[self.ids[at[first]]]
         #: Triples by the place of their first two words and a hash of the third; ``lead`` is the pair of each.
         more = np.flatnonzero(self.pair_at + 1 < len(self.ids))
         more = more[same[self.pair_at[more]]]
         self.triple_at, self.lead = self.pair_at[more] + 1, self.pair[more]
-        last = (mix(hashes[self.triple_at] * _B) >> np.uint64(64 - _LAST)).astype(np.int64)
-        self.triples, self.triple = np.unique((self.lead << _LAST) | last, return_inverse=True)
-        self.pair_cuts = np.searchsorted(self.shard, np.arange(self.plan.shards + 1))
+        last = (mix(self.words[self.ids[self.triple_at]] * _B) >> np.uint64(64 - _LAST)).view(np.int64)
+        self.triples, _, self.triple = _distinct((self.lead << _LAST) | last)
+        self.pair_cuts = np.searchsorted(self.pairs, np.arange(self.plan.shards + 1) * self.plan.room)
         self.triple_cuts = np.searchsorted(self.triples, self.pair_cuts << _LAST)
 
 
@@ -583,11 +610,11 @@ def _sender(plan: Plan, turn: int) -> Callable:
                 pairs = np.bincount(b.pair, b.train[b.pair_at], minlength=len(b.pairs)).astype(np.int64)
                 triples = np.bincount(b.triple, b.train[b.triple_at], minlength=len(b.triples)).astype(np.int64)
                 out = []
-                for s in np.unique(b.shard).tolist():
+                for s in np.flatnonzero(np.diff(b.pair_cuts)).tolist():
                     p, q = b.pair_cuts[s : s + 2]
                     t, u = b.triple_cuts[s : s + 2]
                     firsts, first = np.unique(b.firsts[p:q], return_inverse=True)
-                    out.append((s, row["batch"], row["asked"], _coded(plan.within(b.pairs[p:q])), _bytes(pairs[p:q]), _coded(firsts), _bytes(first), _coded(b.triples[t:u] - (int(p) << _LAST)), _bytes(triples[t:u])))
+                    out.append((s, row["batch"], row["asked"], _coded(b.pairs[p:q] - s * plan.room), _bytes(pairs[p:q]), _coded(firsts), _bytes(first), _coded(b.triples[t:u] - (int(p) << _LAST)), _bytes(triples[t:u])))
                 yield _rows(_WIRE, out)
 
     return send
@@ -606,10 +633,9 @@ def _settle(plan: Plan) -> Callable:
         bounds, cuts = (np.cumsum([0, *map(len, x)]) for x in (keys, below))
         lead = np.concatenate([(t >> _LAST) + at for t, at in zip(below, bounds.tolist(), strict=False)])
         keys, last = np.concatenate(keys), np.concatenate(below) & ((1 << _LAST) - 1)
-        trie, where = ShardTrie.of_pairs(keys, _joined(rows, "counts"), lead, last, _joined(rows, "below_counts"))
+        trie, place, where = ShardTrie.of_pairs(keys, _joined(rows, "counts"), lead, last, _joined(rows, "below_counts"))
         out, number, asking = [], rows[0]["shard"], sum(r["asked"] for r in rows)
-        place = trie.levels[0].find(keys[: bounds[asking]])
-        lower = cuts[asking]
+        place, lower = place[: bounds[asking]], cuts[asking]
         answers = trie.column(0, place), trie.successors(place), trie.column(1, trie.triples_at(place[lead[:lower]], last[:lower]))
         for i, r in enumerate(rows[:asking]):
             own, under = slice(*bounds[i : i + 2]), slice(*cuts[i : i + 2])
@@ -650,7 +676,7 @@ def _word_sender(plan: Plan) -> Callable:
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    shard = keys % shards
+    shard = (keys % shards).astype(np.uint16 if shards <= 1 << 16 else np.int64)
     order = np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
@@ -683,9 +709,8 @@ def _finish(plan: Plan, tokens: int, words: int, d2: float, d3: float) -> Callab
         c1, t1 = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
         c1[order], t1[order] = whole(known, "first"), whole(known, "second")
         c2, t2, c3 = whole(answers, "first"), whole(answers, "second"), whole(answers, "third")
-        count = c1[b.ids]
-        base = (count + 1.0) / (tokens + words + 1)
-        p = base.copy()
+        base = (c1 + 1.0) / (tokens + words + 1)
+        p = base[b.ids]
         seen = np.flatnonzero(c1[b.ids[b.pair_at - 1]] > 0)
         at, before = b.pair_at[seen], b.ids[b.pair_at[seen] - 1]
         p[at] = (np.maximum(c2[b.pair[seen]] - d2, 0) + d2 * t1[before] * p[at]) / c1[before]
@@ -693,7 +718,8 @@ def _finish(plan: Plan, tokens: int, words: int, d2: float, d3: float) -> Callab
         at, lead = b.triple_at[seen], b.lead[seen]
         p[at] = (np.maximum(c3[b.triple[seen]] - d3, 0) + d3 * t2[lead] * p[at]) / c2[lead]
         n = len(b.length)
-        per_text = [np.bincount(b.text, b.own * x, minlength=n) for x in (1.0, count > 0, np.log10(base), np.log10(p))]
+        text = np.repeat(np.arange(n), b.length)
+        per_text = [np.bincount(text, b.own * x, minlength=n) for x in (1.0, (c1 > 0)[b.ids], np.log10(base)[b.ids], np.log10(p))]
         whole = [pa.array(x.astype(np.int64)) for x in per_text[:2]]
         out = pa.Table.from_arrays([b.texts.column(0).cast(pa.int64()), b.texts.column(1), b.texts.column("whole"), *whole, *map(pa.array, per_text[2:])], names=[f.split()[0] for f in _SCORES.split(", ")])
         return out.filter(b.texts.column("asked"))
@@ -711,11 +737,28 @@ def train(texts: DataFrame, text_col: str = "text") -> LanguageModel:
     return LanguageModel(texts.select(F.col(text_col).alias("text")))
 
 
+def _keep_room() -> None:
+    """Lets a process keep ``ROOM`` freed bytes (``mallopt``) until ``release``: else each array's pages are given back and zeroed anew."""
+    try:
+        ctypes.CDLL(None).mallopt(-1, ROOM)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_room()
+        yield from work(batches)
+
+    return lean(run)
+
+
 def _group(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """``work`` on one group, after which the process holds no freed memory."""
 
     def run(group: pa.Table) -> pa.Table:
         keep_freed_memory_low()
+        _keep_room()
         try:
             return work(group)
         finally:
@@ -734,18 +777,18 @@ def score_all(rows: DataFrame) -> DataFrame:
     """Scores the asked rows of (doc_id, held_out, train, asked, text) under the model of the train rows."""
     spark = rows.sparkSession
     small_arrow_batches(spark)
-    table = materialise(rows.mapInArrow(lean(_batches), _BATCHES), "lm-tokens", WIDE_ROWS)
+    table = materialise(rows.mapInArrow(_lean(_batches), _BATCHES), "lm-tokens", WIDE_ROWS)
     size = int(table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).collect()[0][0])
     rounds = ROUNDS if size > SHARD else 1
     plan = Plan(rounds * max(1, -(-size // (rounds * SHARD))), rounds)
     settled = None
     for turn in range(rounds):
-        sent = table.mapInArrow(lean(_sender(plan, turn)), _WIRE)
+        sent = table.mapInArrow(_lean(_sender(plan, turn)), _WIRE)
         part = materialise(sent.groupBy("shard").applyInArrow(_group(_settle(plan)), _SETTLED), "lm-ngrams")
         settled = part if settled is None else settled.unionByName(part)
         _drop_shuffles(spark)
     successors = settled.where("kind = 'words'").select(F.col("place").alias("shard"), F.lit(-1).cast("long").alias("batch"), F.lit(False).alias("asked"), F.col("first").alias("keys"), F.lit(None).cast("binary").alias("counts"), F.col("second").alias("successors"))
-    words = materialise(table.mapInArrow(lean(_word_sender(plan)), _WORDS).unionByName(successors).groupBy("shard").applyInArrow(_group(_settle_words), _SETTLED), "lm-words")
+    words = materialise(table.mapInArrow(_lean(_word_sender(plan)), _WORDS).unionByName(successors).groupBy("shard").applyInArrow(_group(_settle_words), _SETTLED), "lm-words")
     _drop_shuffles(spark)
     total = lambda df, kind, *names: [int(x or 0) for x in df.where(F.col("kind") == kind).agg(*[F.sum(n) for n in names]).collect()[0]]
     n1, n2, m1, m2 = total(settled, "sums", "n1", "n2", "m1", "m2")
