@@ -90,6 +90,7 @@ class EliasFano:
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
         self.n, self.width, self.low, self.high, self.ones, self.zeros = n, width, low, high, ones, zeros
         self._ends: np.ndarray | None = None
+        self._edge: int | None = None
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -152,7 +153,9 @@ class EliasFano:
         if len(value) > self.CHUNK:
             return np.concatenate([self.find(value[at : at + self.CHUNK]) for at in range(0, len(value), self.CHUNK)])
         out = np.full(len(value), -1, dtype=np.int64)
-        top = (value.astype(np.uint64) >> np.uint64(self.width)).astype(np.int64)
+        if self._edge is None:  # the last bucket, which is empty: values beyond the universe have no zero bit of their own
+            self._edge = 64 * (len(self.high) - 1) - int(np.bitwise_count(self.high[:-1]).sum()) - 1
+        top = np.minimum((value.astype(np.uint64) >> np.uint64(self.width)).astype(np.int64), self._edge)
         low = value.astype(np.uint64) & np.uint64((1 << self.width) - 1)
         if self._ends is None:
             first = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) + 1, 0) - top
@@ -683,14 +686,16 @@ def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle_words(shard: pa.Table) -> pa.Table:
     rows = sorted(shard.to_pylist(), key=lambda r: not r["asked"])
-    keys = [_decoded(r["keys"]) for r in rows]
+    keys, nothing = [_decoded(r["keys"]) for r in rows], np.zeros(0, dtype=np.int64)
     bounds = np.cumsum([0, *map(len, keys)])
     of = lambda name: np.concatenate([_numbers(r[name]) if r[name] is not None else np.zeros(len(k), dtype=np.int64) for r, k in zip(rows, keys, strict=True)])
     trie = ShardTrie.of_words(np.concatenate(keys), of("counts"), of("successors"))
     out, number, asking = [], rows[0]["shard"], sum(r["asked"] for r in rows)
+    place = trie.levels[0].find(np.concatenate([nothing, *keys[:asking]]))
+    answers = trie.column(0, place), trie.column(1, place)
     for i in range(asking):
-        place = trie.levels[0].find(keys[i])
-        out.append(("word", rows[i]["batch"], number, _bytes(trie.column(0, place)), _bytes(trie.column(1, place)), None, 0, 0, 0, 0))
+        own = slice(*bounds[i : i + 2])
+        out.append(("word", rows[i]["batch"], number, _bytes(answers[0][own]), _bytes(answers[1][own]), None, 0, 0, 0, 0))
     counts = trie.tables[0][trie.codes[0]]
     out.append(("total", 0, number, None, None, None, int(counts.sum()), len(counts), 0, 0))
     return _as_table(_SETTLED, out)

@@ -226,6 +226,18 @@ def test_elias_fano_round_trip():
         assert code.find(asked).tolist() == [where.get(int(x), -1) for x in asked]
 
 
+def test_elias_fano_misses_values_beyond_the_last():
+    """A few searches, which select zero bits, beyond the last bucket, whose zero bits fill the sample for some sizes."""
+    random = np.random.default_rng(5)
+    for n in range(1, 200):
+        values = np.unique(random.integers(0, n * 100, n))
+        code = lm_scoring.EliasFano.of(values, int(values[-1]) + 1)
+        asked = np.concatenate([values, values[-1] + np.array([1, 100, 10_000, 1 << 61])])
+        assert code.find(asked).tolist() == [*range(len(values)), -1, -1, -1, -1]
+        many = np.resize(asked, code.MANY)
+        assert lm_scoring.EliasFano.of(values, int(values[-1]) + 1).find(many).tolist() == np.resize(code.find(asked), code.MANY).tolist()
+
+
 def test_lm_shards_answer_from_a_mapped_trie(monkeypatch):
     """A shard's counts come from Elias-Fano levels that are mapped and searched, also where batches ask for unknown pairs."""
     rng = np.random.default_rng(2)
